@@ -96,7 +96,7 @@ def info(spark, d):
             F.concat_ws(",", F.transform("months", lambda v: v.cast("string"))).alias("months"),
             "min_amount",
             "max_amount",
-            F.round("mean_amount", 4).alias("mean_amount"),
+            "mean_amount",
         )
     )
 
@@ -133,7 +133,7 @@ PROFILE_SQL = """profile AS (
 
 
 def profile(spark, d):
-    return prof.data_profile(facts(spark, d)).withColumn("value", F.round("value", 4))
+    return prof.data_profile(facts(spark, d))
 
 
 def profile_lines(spark, d):
@@ -207,7 +207,7 @@ QUERIES = {
             """SELECT (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM (SELECT DISTINCT year FROM facts WHERE year IS NOT NULL)) AS years,
                  (SELECT string_agg(CAST(month AS VARCHAR), ',' ORDER BY month) FROM (SELECT DISTINCT month FROM facts WHERE month IS NOT NULL)) AS months,
                  CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount,
-                 round(CAST(sum(amount) AS DOUBLE) / count(amount), 4) AS mean_amount FROM facts"""
+                 CAST(sum(amount) AS DOUBLE) / count(amount) AS mean_amount FROM facts"""
         ),
     ),
     "monthly_revenue": Query(
@@ -222,8 +222,8 @@ QUERIES = {
         lambda s, d: doubled(agg.total_revenue(facts(s, d, [A]))), on_facts(f"SELECT {SUM} AS total FROM facts")
     ),
     "mean_monthly_revenue": Query(
-        lambda s, d: agg.mean_monthly_revenue(facts(s, d, [Y, M, A])).withColumn("mean_month", F.round("mean_month", 4)),
-        on_facts("SELECT round(CAST(sum(revenue) AS DOUBLE) / count(*), 4) AS mean_month FROM monthly", MONTHLY_SQL),
+        lambda s, d: agg.mean_monthly_revenue(facts(s, d, [Y, M, A])),
+        on_facts("SELECT CAST(sum(revenue) AS DOUBLE) / count(*) AS mean_month FROM monthly", MONTHLY_SQL),
     ),
     "top_client": Query(
         lambda s, d: agg.top_client(facts(s, d, [C, A])),
@@ -236,21 +236,21 @@ QUERIES = {
         lambda s, d: agg.top_client(sel.select_facts(facts(s, d), years=[1900])), "SELECT '-' AS client"
     ),
     "panel_indicators": Query(
-        lambda s, d: agg.indicators(facts(s, d, [Y, M, C, A])).withColumn("mean_month", F.round("mean_month", 4)),
+        lambda s, d: agg.indicators(facts(s, d, [Y, M, C, A])),
         on_facts(
             """SELECT (SELECT CAST(sum(amount) AS DOUBLE) FROM facts) AS total,
-                 (SELECT round(CAST(sum(revenue) AS DOUBLE) / count(*), 4) FROM monthly) AS mean_month,
+                 (SELECT CAST(sum(revenue) AS DOUBLE) / count(*) FROM monthly) AS mean_month,
                  (SELECT client FROM (SELECT client, sum(amount) AS v FROM facts WHERE client IS NOT NULL
                     GROUP BY client ORDER BY v DESC, client LIMIT 1)) AS top_client""",
             MONTHLY_SQL,
         ),
     ),
     "amount_profile": Query(
-        lambda s, d: doubled(agg.amount_profile(facts(s, d, [A]))).withColumn("mean_amount", F.round("mean_amount", 4)).withColumn("median_amount", F.round("median_amount", 4)),
+        lambda s, d: doubled(agg.amount_profile(facts(s, d, [A]))),
         on_facts(
             """SELECT CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount,
-                 CAST(sum(amount) AS DOUBLE) AS total, round(CAST(sum(amount) AS DOUBLE) / count(amount), 4) AS mean_amount,
-                 (SELECT round((max(CAST(amount AS DOUBLE)) + min(CAST(amount AS DOUBLE))) / 2, 4) FROM (
+                 CAST(sum(amount) AS DOUBLE) AS total, CAST(sum(amount) AS DOUBLE) / count(amount) AS mean_amount,
+                 (SELECT (max(CAST(amount AS DOUBLE)) + min(CAST(amount AS DOUBLE))) / 2 FROM (
                     SELECT amount, row_number() OVER (ORDER BY amount) AS rn, count(*) OVER () AS n FROM facts)
                   WHERE rn IN ((n + 1) // 2, n // 2 + 1)) AS median_amount
                FROM facts"""
@@ -297,7 +297,7 @@ QUERIES = {
         lambda s, d: agg.top(facts(s, d, [P]), P, "records"), on_facts(sql_top(P, "count(*)", "records"))
     ),
     "data_profile": Query(
-        profile, on_facts("SELECT section, key, round(value, 4) AS value FROM profile", PROFILE_SQL)
+        profile, on_facts("SELECT section, key, value FROM profile", PROFILE_SQL)
     ),
     "data_profile_lines": Query(
         profile_lines,
