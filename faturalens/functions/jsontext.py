@@ -7,9 +7,10 @@ fails to parse, or has another size, or does not end in the mark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faturalens.functions import fixed
+from faturalens.functions.once import with_once
 from faturalens.functions.text import strip
 
 _MARK = "§end-of-value§"
@@ -67,28 +68,28 @@ def object_candidates(raw: Column) -> Column:
     return F.transform(F.reverse(later), lambda piece: F.concat(F.lit("{"), piece))
 
 
-def with_json_object(df, text: str = "text"):
+def with_json_object(df: DataFrame, text: str = "text") -> DataFrame:
     """Add `json_text` (the object found) and `json_error` (why there is none)."""
-    raw, whole = F.col("_raw"), F.col("_whole_kind")
-    found = F.get(
+    raw, whole, found = F.col("_raw"), F.col("_whole_kind"), F.col("_found")
+    candidate = F.get(
         F.filter(object_candidates(raw), lambda piece: parse_strict(piece).isNotNull()), F.lit(0)
     )
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     errors = fixed.JSON_ERRORS
+    rows = with_once(df, _raw=unfence(F.col(text)))
+    rows = with_once(rows, _whole_kind=kind(parse_strict(raw)))
+    rows = with_once(rows, _found=F.when(whole.isNull(), candidate))
     return (
-        df.withColumn("_raw", unfence(F.col(text)))
-        .withColumn("_whole_kind", kind(parse_strict(raw)))
-        .withColumn(
-            "json_text",
-            F.when(empty, F.lit(None)).when(whole == "object", raw).when(whole.isNull(), found),
+        rows.withColumn(
+            "json_text", F.when(empty, F.lit(None)).when(whole == "object", raw).otherwise(found)
         )
         .withColumn(
             "json_error",
             F.when(empty, F.lit(errors["empty"]))
             .when(whole != "object", F.lit(errors["not_object"]))
-            .when(F.col("json_text").isNotNull(), F.lit(None))
+            .when(whole.isNotNull() | found.isNotNull(), F.lit(None))
             .when(~F.contains(raw, F.lit("}")), F.lit(errors["no_delimiter"]))
             .otherwise(F.lit(errors["not_found"])),
         )
-        .drop("_raw", "_whole_kind")
+        .drop("_raw", "_whole_kind", "_found")
     )

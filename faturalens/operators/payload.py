@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faturalens.functions import fixed
 from faturalens.functions.jsontext import kind, parse_strict, truthy, with_json_object
+from faturalens.functions.once import with_once
 from faturalens.functions.text import is_blank
 from faturalens.operators.validation import model_error
 
@@ -40,25 +41,24 @@ def normalize_payload(extracted: DataFrame) -> DataFrame:
     An answer without an object, or with an empty one, becomes the text of its payload.
     Model errors hold only their own text. Unknown fields are left out.
     """
-    payload, text = F.col("_payload"), F.col("text")
-    usable = truthy(payload)
-    checks = F.when(kind(_field(payload, "checagem")) == "object", _field(payload, "checagem"))
+    payload, checks, text = F.col("_payload"), F.col("_checks"), F.col("text")
     body = F.when(
-        usable, _text_or(_field(payload, "texto_markdown"), _text_or(_field(payload, "texto"), F.lit("")))
+        truthy(payload), _text_or(_field(payload, "texto_markdown"), _text_or(_field(payload, "texto"), F.lit("")))
     ).otherwise(F.coalesce(text, F.lit("")))
-    error = model_error(text)
-    parsed = F.when(error.isNull(), parse_strict(F.col("json_text")))
-    return (
-        extracted.withColumn("_payload", parsed)
-        .withColumn("schema_version", _text_or(_field(payload, "schema_version"), F.lit(fixed.PAYLOAD_SCHEMA_VERSION)))
-        .withColumn("resumo_executivo", _text_or(_field(payload, "resumo_executivo"), F.lit("")))
-        .withColumn("texto_markdown", body)
-        .withColumns({name: _list(payload, name) for name in LIST_FIELDS})
-        .withColumn("checagem", F.struct(*[truthy(_field(checks, name)).alias(name) for name in fixed.CHECK_FIELDS]))
-        .withColumn("json_error", F.when(error.isNull(), F.col("json_error")))
-        .withColumn("erro_llm", error)
-        .drop("_payload")
-    )
+    version = F.lit(fixed.PAYLOAD_SCHEMA_VERSION)
+    rows = extracted.withColumn("erro_llm", model_error(text))
+    rows = rows.withColumn("json_error", F.when(F.col("erro_llm").isNull(), F.col("json_error")))
+    rows = with_once(rows, _payload=F.when(F.col("erro_llm").isNull(), parse_strict(F.col("json_text"))))
+    found = _field(payload, "checagem")
+    rows = with_once(rows, _checks=F.when(kind(found) == "object", found))
+    return with_once(
+        rows,
+        schema_version=_text_or(_field(payload, "schema_version"), version),
+        resumo_executivo=_text_or(_field(payload, "resumo_executivo"), F.lit("")),
+        texto_markdown=body,
+        **{name: _list(payload, name) for name in LIST_FIELDS},
+        checagem=F.struct(*[truthy(_field(checks, name)).alias(name) for name in fixed.CHECK_FIELDS]),
+    ).drop("_payload", "_checks")
 
 
 def with_contract(payloads: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def with_contract(payloads: DataFrame) -> DataFrame:
     empty = is_blank(F.col("texto_markdown")) & is_blank(F.col("resumo_executivo")) & lists_empty
     real = F.col("erro_llm").isNull()
     return (
-        payloads.withColumn("content_empty", empty)
+        with_once(payloads, content_empty=empty)
         .withColumn("contract_ok", real & F.col("json_error").isNull() & ~F.col("content_empty"))
         .withColumn(
             "erro_conteudo",

@@ -35,6 +35,11 @@ def domain(facts: DataFrame, column: str) -> DataFrame:
     return facts.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def known_years(facts: DataFrame) -> DataFrame:
+    """One row with the sorted array of years, bounded by the calendar."""
+    return facts.agg(F.sort_array(F.collect_set("year")).alias("years"))
+
+
 def facts_info(facts: DataFrame) -> DataFrame:
     """One row: years, months, amount range and mean.
 

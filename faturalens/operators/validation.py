@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faturalens.functions import fixed
+from faturalens.functions.once import with_once
 from faturalens.functions.text import is_blank, listing, strip
 
 
@@ -36,8 +37,9 @@ def year_mentions(text: Column, pattern: str = fixed.YEAR_PATTERN) -> Column:
 def unknown_years(responses: DataFrame, known_years: DataFrame, pattern: str = fixed.YEAR_PATTERN) -> DataFrame:
     """Rows `(response_id, year)` for every named year that the facts do not have."""
     named = answers(responses).select(
-        "response_id", F.explode(year_mentions(F.col("text"), pattern)).cast("int").alias("year")
+        "response_id", F.explode(year_mentions(F.col("text"), pattern)).alias("year")
     )
+    named = named.withColumn("year", F.col("year").cast("int"))
     return named.join(known_years.select("year"), "year", "left_anti").select("response_id", "year")
 
 
@@ -132,14 +134,12 @@ def real_warnings(warnings: Column) -> Column:
 def text_checks(responses: DataFrame, known_years: Column, year_pattern: str = fixed.YEAR_PATTERN) -> DataFrame:
     """Add the row-by-row results: `errors`, `phrases` and `names`."""
     text = F.col("text")
-    return (
-        answers(responses)
-        .withColumn("_known_years", known_years)
-        .withColumn("errors", year_errors(text, F.col("_known_years"), year_pattern))
-        .withColumn("phrases", phrase_warnings(text))
-        .withColumn("names", entity_names(text))
-        .drop("_known_years")
-    )
+    return with_once(
+        answers(responses).withColumn("_known_years", known_years),
+        errors=year_errors(text, F.col("_known_years"), year_pattern),
+        phrases=phrase_warnings(text),
+        names=entity_names(text),
+    ).drop("_known_years")
 
 
 def verdicts(checked: DataFrame, clients: DataFrame) -> DataFrame:

@@ -131,5 +131,37 @@ def responses_sql() -> str:
     return f"responses AS ({sql})"
 
 
+# Dashboard reports: one per customer, complete, lacking a heading, with a changed heading,
+# missing or blank; some are long.
+REPORTS_SQL = """
+SELECT c_custkey AS report_id,
+       CASE c_custkey % 5
+         WHEN 1 THEN replace(whole, '## 📈 KPIs Prioritários', '## KPIs')
+         WHEN 2 THEN replace(whole, 'Roadmap de Implementação', 'Roadmap de Implementação e mais')
+         WHEN 3 THEN NULL
+         WHEN 4 THEN CASE WHEN c_custkey % 2 = 0 THEN '   ' ELSE '' END
+         ELSE whole END AS markdown
+FROM (
+  SELECT c_custkey, concat(
+    '# 🧭 Plano Executivo de Dashboard', chr(10), chr(10), '## 🎯 Objetivo do Dashboard', chr(10),
+    'Receita de ', c_name, ' <', c_mktsegment, '> & *saldo* ', CAST(c_acctbal AS DECIMAL(12,2)), chr(10),
+    '## 🧠 Leitura Executiva  ', chr(10), repeat('linha de leitura ', CAST(c_custkey % 7 * 30 AS INTEGER)), chr(10),
+    '## 📈 KPIs Prioritários', chr(10), '## 📊 Visualizações Recomendadas', chr(10),
+    '## 🧠 Insights Refinados e Priorizados', chr(10), '  ', chr(10), '## ⚠️ Pontos de Atenção', chr(10),
+    '## 🛠️ Estrutura Técnica do Dashboard', chr(10), '## 🚀 Roadmap de Implementação', chr(10),
+    '##   📌 Recomendações Executivas') AS whole
+  FROM <customer>)
+"""
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Dashboard reports `(report_id, markdown)`."""
+    return spark.sql(REPORTS_SQL.replace("<customer>", "{customer}"), customer=table(spark, folder, "customer"))
+
+
+def reports_sql() -> str:
+    return f"reports AS ({REPORTS_SQL.replace('<customer>', 'customer')})"
+
+
 # The given tables span 1995 to 2001, so the year pattern covers two centuries here.
 YEAR_PATTERN = r"\b((?:19|20)[0-9]{2})\b"

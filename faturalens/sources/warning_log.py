@@ -4,30 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from faturalens.functions.jsontext import kind, parse_strict
+from faturalens.functions.once import with_once
+
 RECORD = (
     "timestamp string, assistente string, quantidade_avisos int, quantidade_erros int, "
     "avisos array<string>, erros array<string>, tamanho_resposta int, primeiras_100_chars string"
 )
 
 
-def load_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log records out of JSON files.
+def records_in(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Log records out of JSON documents, one document per row.
 
-    A file is either a bare list of records or an object with the list under `items`;
-    anything else, unreadable JSON included, holds no records.
+    A document is a list of records or an object with the list under `items`; anything
+    else, unreadable JSON included, holds no records.
     """
-    rows = (
-        spark.read.schema(f"{RECORD}, items array<struct<{RECORD}>>, _broken string")
-        .option("multiLine", "true")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken")
-        .json(path)
+    whole = F.col("_document")
+    listed = F.try_variant_get(whole, "$.items", "variant")
+    items = F.when(kind(whole) == "array", whole).when(kind(listed) == "array", listed)
+    rows = with_once(documents, _document=parse_strict(F.col(text))).select(
+        F.explode(F.try_variant_get(items, "$", "array<variant>")).alias("_item")
+    )
+    fields = [part.split() for part in RECORD.split(", ")]
+    return rows.where(kind(F.col("_item")) == "object").select(
+        *[F.try_variant_get("_item", f"$.{name}", data_type).alias(name) for name, data_type in fields]
     )
-    fields = [part.split()[0] for part in RECORD.split(", ")]
-    # A bare record (not in a list) cannot be told from a list of one; neither can be lost.
-    enveloped = rows.where("_broken is null and items is not null").select(F.inline("items"))
-    bare = rows.where("_broken is null and items is null and assistente is not null").select(*fields)
-    return bare.unionByName(enveloped)
+
+
+def load_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records of every log file under the path; each file is one document."""
+    return records_in(spark.read.text(path, wholetext=True))
 
 
 def append_log(records: DataFrame, path: str) -> None:
