@@ -7,6 +7,8 @@ single-element array is a step it does not copy through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -15,3 +17,8 @@ def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     kept = [F.col(name) for name in df.columns if name not in columns]
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value worked out once, also where the body repeats it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,11 +9,11 @@ from faturalens.functions import fixed
 
 def strip(text: Column) -> Column:
     """Trim every kind of blank, line breaks included, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_extract(text, r"(?sU)^\s*(.*\S)\s*\z", 1)
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+    return ~F.rlike(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S"))
 
 
 def first_filled(*texts: Column) -> Column:

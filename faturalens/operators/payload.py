@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faturalens.functions import fixed
 from faturalens.functions.jsontext import kind, parse_strict, truthy, with_json_object
-from faturalens.functions.once import with_once
+from faturalens.functions.once import let, with_once
 from faturalens.functions.text import is_blank
 from faturalens.operators.validation import model_error
 
@@ -25,14 +25,14 @@ def _field(payload: Column, name: str) -> Column:
 
 
 def _text_or(value: Column, default: Column) -> Column:
-    return F.when(truthy(value), F.try_variant_get(value, "$", "string")).otherwise(default)
+    return let(value, lambda v: F.when(truthy(v), F.try_variant_get(v, "$", "string")).otherwise(default))
 
 
 def _list(payload: Column, name: str) -> Column:
     """The list as it is, element by element; anything but a list becomes empty."""
-    value = _field(payload, name)
-    items = F.try_variant_get(value, "$", "array<variant>")
-    return F.when(kind(value) == "array", items).otherwise(F.array().cast("array<variant>"))
+    # A value that is no list does not cast to one.
+    items = F.try_variant_get(payload, f"$.{name}", "array<variant>")
+    return F.coalesce(items, F.array().cast("array<variant>"))
 
 
 def normalize_payload(extracted: DataFrame) -> DataFrame:
@@ -134,9 +134,14 @@ def _place(value: Column, labels: list[str]) -> Column:
 
 
 def rank_insights(insights: DataFrame) -> DataFrame:
-    """Most confident first, then the higher risk, then by id."""
+    """Most confident first, then the higher risk, then by id.
+
+    A global sort reads its input twice, once to sample it. The rows are slim by now, so they
+    are spread out first: the second reading then starts here and not at the texts.
+    """
+    slim = [name for name, kind_of in insights.dtypes if not kind_of.startswith("array")]
     return (
-        insights.withColumn("confidence_place", _place(F.col("confianca"), fixed.CONFIDENCE_ORDER))
+        insights.repartition(*slim).withColumn("confidence_place", _place(F.col("confianca"), fixed.CONFIDENCE_ORDER))
         .withColumn("risk_place", _place(F.col("nivel_risco"), fixed.RISK_ORDER))
         .orderBy("confidence_place", "risk_place", "id")
     )

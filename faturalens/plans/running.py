@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from faturalens.functions.once import let
+
 SAMPLE = 2048
 BUCKETS = 256
 BLOCK = 16
@@ -32,11 +34,6 @@ def cut_points(df: DataFrame, key: str, measures: list[str]) -> DataFrame:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once per row, also inside nested lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def bucket_of(value: Column, cuts: Column) -> Column:
     """Number of cut points below the value: first the block, then the place inside it."""
 
@@ -45,9 +42,9 @@ def bucket_of(value: Column, cuts: Column) -> Column:
 
     def place(v: Column) -> Column:
         start = F.greatest((below(cuts["blocks"], v) - 1) * BLOCK, F.lit(0))
-        return _let(start, lambda s: s + below(F.slice(cuts["cuts"], s + 1, F.lit(BLOCK)), v))
+        return let(start, lambda s: s + below(F.slice(cuts["cuts"], s + 1, F.lit(BLOCK)), v))
 
-    return _let(value, place)
+    return let(value, place)
 
 
 def running_totals(df: DataFrame, key: str, measures: list[str], descending: bool = False) -> DataFrame:
