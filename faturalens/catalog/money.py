@@ -133,11 +133,11 @@ PROFILE_SQL = """profile AS (
 
 
 def profile(spark, d):
-    return prof.data_profile(facts(spark, d))
+    return prof.data_profile(facts(spark, d), facts(spark, d, [A]))
 
 
 def profile_lines(spark, d):
-    return prof.profile_lines(prof.data_profile(facts(spark, d))).select("part", "line")
+    return prof.profile_lines(profile(spark, d)).select("part", "line")
 
 
 TITLES_SQL = "titles(part, section, heading) AS (VALUES " + ", ".join(

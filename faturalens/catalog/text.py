@@ -101,8 +101,12 @@ def normalized(spark, d):
 
 
 def contract_rows(spark, d):
-    flags = contracts(spark, d).select("response_id", "json_error", "erro_llm", "content_empty", "contract_ok", "erro_conteudo")
-    return pl.valid_by_content(flags, verdicts(spark, d)).select(
+    # Contract and text checks share one reading of the texts; only slim rows are shuffled.
+    years = sel.known_years(facts(spark, d, [Y])).scalar()
+    rows = val.text_checks(contracts(spark, d), years, YEAR_PATTERN, answers_only=False).select(
+        "response_id", "erro_llm", "content_empty", "contract_ok", "erro_conteudo", "errors", "phrases", "names"
+    )
+    return pl.valid_by_content(val.verdicts(rows, facts(spark, d, [C]))).select(
         "response_id", "content_empty", "contract_ok", "erro_conteudo", "valid_by_content"
     )
 
@@ -180,7 +184,7 @@ def self_checks(spark, d):
 
 
 def cited_rows(spark, d):
-    numbers = prof.fact_numbers(prof.data_profile(facts(spark, d))).scalar()
+    numbers = prof.fact_numbers(prof.data_profile(facts(spark, d), facts(spark, d, [A]))).scalar()
     return cited.cited_check(val.answers(responses(spark, d)), numbers).select(
         "response_id", "cited", "verified", "all_verified"
     )

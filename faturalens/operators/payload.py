@@ -78,12 +78,10 @@ def with_contract(payloads: DataFrame) -> DataFrame:
     )
 
 
-def valid_by_content(contracts: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Join the slim verdict to the contract flags; errors of the model are never valid."""
-    columns = ["response_id", "errors", "all_warnings", "warnings", "valid"]
-    joined = contracts.join(verdict.select(*columns), "response_id", "left")
-    return joined.withColumn(
-        "valid_by_content", F.coalesce(F.col("valid"), F.lit(False)) & F.col("contract_ok")
+def valid_by_content(verdict: DataFrame) -> DataFrame:
+    """Verdict and contract together, for verdicts that carry the contract flags."""
+    return verdict.withColumn(
+        "valid_by_content", F.col("valid") & F.col("contract_ok") & F.col("erro_llm").isNull()
     )
 
 

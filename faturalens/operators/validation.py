@@ -131,11 +131,18 @@ def real_warnings(warnings: Column) -> Column:
 
 
 # --- verdict ---------------------------------------------------------------------------------------
-def text_checks(responses: DataFrame, known_years: Column, year_pattern: str = fixed.YEAR_PATTERN) -> DataFrame:
-    """Add the row-by-row results: `errors`, `phrases` and `names`."""
-    text = F.col("text")
+def text_checks(
+    responses: DataFrame, known_years: Column, year_pattern: str = fixed.YEAR_PATTERN, answers_only: bool = True
+) -> DataFrame:
+    """Add the row-by-row results: `errors`, `phrases` and `names`.
+
+    Model errors are left out, or, with `answers_only=False`, kept with nothing found.
+    """
+    real = model_error(F.col("text")).isNull()
+    rows = responses.where(real) if answers_only else responses
+    text = F.col("text") if answers_only else F.when(real, F.col("text")).otherwise(F.lit(""))
     return with_once(
-        answers(responses).withColumn("_known_years", known_years),
+        rows.withColumn("_known_years", known_years),
         errors=year_errors(text, F.col("_known_years"), year_pattern),
         phrases=phrase_warnings(text),
         names=entity_names(text),

@@ -102,71 +102,97 @@ def suggestions(log: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array_compact(F.array(*rules))))
 
 
+def tally(log: DataFrame) -> DataFrame:
+    """Everything the report counts, overall, per assistant and per class, in one pass.
+
+    An empty log still has its overall row, with zeros.
+    """
+    aviso, tipo = F.col("aviso"), F.col("tipo")
+    rows = log.select("assistente", "quantidade_avisos", F.posexplode_outer("avisos").alias("position", "aviso"))
+    # A run is counted at its first row, also when it has no warning.
+    first = (F.coalesce("position", F.lit(0)) == 0).cast("bigint")
+    kinds = rows.groupBy(
+        "assistente",
+        F.when(aviso.isNotNull(), warning_class(aviso)).alias("tipo"),
+        F.when(aviso.isNotNull(), warning_class_short(aviso)).alias("short"),
+    ).agg(
+        F.sum(first).alias("runs"),
+        F.sum(first * F.col("quantidade_avisos")).alias("listed"),
+        F.count("aviso").alias("warnings"),
+    )
+    seed = log.sparkSession.range(1).selectExpr(
+        "cast(null as string) assistente", "cast(null as string) tipo", "cast(null as string) short",
+        "0L runs", "0L listed", "0L warnings",
+    )
+
+    def at(level: str, name: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), name.alias("name"))
+
+    levels = F.array(at("all", F.lit("")), at("assistant", F.col("assistente")), at("class", tipo))
+
+    def warnings_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("warnings"))), F.lit(0))
+
+    return (
+        kinds.unionByName(seed)
+        .withColumn("_at", F.explode(levels))
+        .where("_at.name is not null")
+        .groupBy("_at")
+        .agg(
+            F.sum("runs").alias("runs"),
+            F.sum("listed").alias("listed"),
+            F.sum("warnings").alias("total"),
+            warnings_where(tipo == fixed.CLASS_CLIENT).alias("client_class"),
+            warnings_where(F.col("short") == fixed.CLASS_CLIENT).alias("client"),
+            warnings_where(F.col("short") == fixed.CLASS_REFERENCE).alias("reference"),
+        )
+        .select("_at.*", "runs", "listed", "total", "client_class", "client", "reference")
+    )
+
+
 def log_report(log: DataFrame, stamp: Column | None = None, n: int = 5) -> DataFrame:
     """The report as lines `(part, rank, place, line)`, to be ordered by the first three."""
     stamp = F.current_timestamp() if stamp is None else stamp
+    name, total = F.col("name"), F.col("total").cast("string")
 
-    def lines(df: DataFrame, part: int, rank: Column, place: Column, line: Column) -> DataFrame:
-        return df.select(
-            F.lit(part).alias("part"),
-            rank.cast("double").alias("rank"),
-            place.cast("string").alias("place"),
-            line.alias("line"),
+    def line(part: int, text: Column, rank: Column | int = 0, place: Column | str = "") -> Column:
+        rank = F.lit(rank) if isinstance(rank, int) else rank
+        place = F.lit(place) if isinstance(place, str) else place
+        return F.struct(
+            F.lit(part).alias("part"), rank.cast("double").alias("rank"), place.alias("place"), text.alias("line")
         )
 
-    zero, none = F.lit(0), F.lit("")
-    head = log.agg(F.count(F.lit(1)).alias("n")).select(
-        F.posexplode(
-            F.array(
-                F.lit("# RELATÓRIO DE AVISOS E PADRÕES"),
-                F.concat(F.lit("Data: "), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")),
-                F.concat(F.lit("Total de execuções analisadas: "), F.col("n").cast("string")),
-                F.lit("## Avisos por Assistente"),
-            )
-        ).alias("i", "line")
-    )
-    mean = F.format_string("%.1f", "media_avisos")
-    areas = runs_per_assistant(log).select(
-        "assistente",
-        F.posexplode(
-            F.array(
-                F.concat(F.lit("### "), F.upper("assistente")),
-                F.concat(F.lit("- Execuções: "), F.col("execucoes").cast("string")),
-                F.concat(F.lit("- Média de avisos por execução: "), mean),
-            )
-        ).alias("i", "line"),
-    )
-    counted = class_counts(log)
-    total = client_warning_total(log).where("total > 0")
-    parts = [
-        lines(head, 0, F.col("i"), none, F.col("line")),
-        lines(areas, 1, zero, F.concat("assistente", F.lit("/"), F.col("i").cast("string")), F.col("line")),
-        lines(log.agg(F.count(F.lit(1))), 2, zero, none, F.lit("## Tipos de Aviso Mais Comuns")),
-        lines(
-            counted,
-            3,
-            -F.col("ocorrencias"),
-            F.col("tipo"),
-            F.concat(F.lit("- "), "tipo", F.lit(": "), F.col("ocorrencias").cast("string"), F.lit(" ocorrências")),
+    over = [F.col(measure) > limit for measure, limit, _ in fixed.SUGGESTIONS]
+    overall = [
+        line(0, F.lit("# RELATÓRIO DE AVISOS E PADRÕES"), 0),
+        line(0, F.concat(F.lit("Data: "), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")), 1),
+        line(0, F.concat(F.lit("Total de execuções analisadas: "), F.col("runs").cast("string")), 2),
+        line(0, F.lit("## Avisos por Assistente"), 3),
+        line(2, F.lit("## Tipos de Aviso Mais Comuns")),
+        F.when(
+            F.col("client_class") > 0,
+            line(4, F.concat(F.lit("## Falsos Positivos Detectados ("), F.col("client_class").cast("string"), F.lit(")"))),
         ),
-        lines(
-            total,
-            4,
-            zero,
-            none,
-            F.concat(F.lit("## Falsos Positivos Detectados ("), F.col("total").cast("string"), F.lit(")")),
-        ),
-        lines(
-            first_client_warnings(log, n),
-            5,
-            zero,
-            F.concat("timestamp", F.lit("/"), F.format_string("%06d", "position"), F.lit("/"), "aviso"),
-            F.concat(F.lit("- "), "aviso"),
-        ),
-        lines(suggestions(log).limit(1), 6, zero, none, F.lit("## SUGESTÕES DE MELHORIA")),
-        lines(suggestions(log), 7, F.col("number"), none, F.concat(F.lit("- "), "suggestion")),
+        F.when(over[0] | over[1] | over[2], line(6, F.lit("## SUGESTÕES DE MELHORIA"))),
+        *[
+            F.when(above, line(7, F.lit(f"- {text}"), i))
+            for i, (above, (_, _, text)) in enumerate(zip(over, fixed.SUGGESTIONS), start=1)
+        ],
+    ]
+    mean = F.format_string("%.1f", F.col("listed") / F.greatest("runs", F.lit(1)))
+    per_assistant = [
+        line(1, F.concat(F.lit("### "), F.upper(name)), 0, F.concat(name, F.lit("/0"))),
+        line(1, F.concat(F.lit("- Execuções: "), F.col("runs").cast("string")), 0, F.concat(name, F.lit("/1"))),
+        line(1, F.concat(F.lit("- Média de avisos por execução: "), mean), 0, F.concat(name, F.lit("/2"))),
     ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    per_class = [
+        line(3, F.concat(F.lit("- "), name, F.lit(": "), total, F.lit(" ocorrências")), -F.col("total"), name)
+    ]
+    at = F.col("level")
+    chosen = F.when(at == "all", F.array(*overall)).when(at == "assistant", F.array(*per_assistant))
+    counted = tally(log).select(F.inline(F.array_compact(chosen.otherwise(F.array(*per_class)))))
+    order = F.concat("timestamp", F.lit("/"), F.format_string("%06d", "position"), F.lit("/"), "aviso")
+    examples = first_client_warnings(log, n).select(
+        F.inline(F.array(line(5, F.concat(F.lit("- "), "aviso"), 0, order)))
+    )
+    return counted.unionByName(examples)

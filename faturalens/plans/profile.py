@@ -81,8 +81,13 @@ def _entries(rows: DataFrame, *entries: Column) -> DataFrame:
     return rows.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
 
 
-def data_profile(facts: DataFrame, exact_median: bool = True) -> DataFrame:
-    """Sections, keys and values of the whole profile."""
+def data_profile(facts: DataFrame, amounts: DataFrame | None = None, exact_median: bool = True) -> DataFrame:
+    """Sections, keys and values of the whole profile.
+
+    `amounts` may give the amount column by itself when `facts` is a join, so that the median
+    does not repeat the join.
+    """
+    amounts = facts if amounts is None else amounts
     levels = _levels(facts)
     at, name = F.col("level"), F.col("name")
     month_key = F.format_string("%04d-%02d", "year", "month")
@@ -135,7 +140,7 @@ def data_profile(facts: DataFrame, exact_median: bool = True) -> DataFrame:
         _entry("identificados", F.lit("colaboradores"), F.col("n"), at == "collaborator"),
         spare,
     )
-    middle = median(facts, "amount") if exact_median else facts.agg(
+    middle = median(amounts, "amount") if exact_median else amounts.agg(
         F.percentile_approx("amount", 0.5, 10000).cast("double").alias("median")
     )
     middle = middle.select(
