@@ -26,8 +26,9 @@ ENTITY_PATTERNS = [
     r"empresa\s+([^,\.]+)",
     r"(?:para|de)\s+([A-Z][A-Za-z\s]{3,})\s+(?:aumentou|recebemos|contratamos)",
 ]
-# The third pattern can only match a text holding one of these words.
-ENTITY_PATTERN_3_WORDS = r"aumentou|recebemos|contratamos"
+# Pieces of which a text must hold one, in lower case, before the third pattern can match.
+# They leave out the letters that other characters fold to.
+ENTITY_PATTERN_3_PIECES = ["aumentou", "recebemo", "contratamo"]
 ENTITY_STOP_WORDS = ["qual", "este", "seria"]
 ENTITY_MIN_LENGTH = 3
 
@@ -42,6 +43,9 @@ PHRASE_RULES = [
     (r"com\s+base\s+(?:na\s+)?experiência(?!\s+própria)", "análise externa sem base em dados"),
 ]
 
+# Piece a text must hold, in lower case, before the rule of the same place can match.
+PHRASE_PIECES = ["2024", "3", "202", "exper"]
+
 # --- fixed values: false-positive patterns over generated warnings -----------------------
 FALSE_POSITIVE_PATTERNS = [
     r"Cliente/Empresa '([^']+)' não encontrado.*(?:fez|teve|contribuiu)",

@@ -7,10 +7,12 @@ as one bounded array. Client names are joined, since their number grows with the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faturalens.functions import fixed
-from faturalens.functions.once import with_once
+from faturalens.functions.once import let, with_once
 from faturalens.functions.text import is_blank, listing, strip
 
 
@@ -55,6 +57,15 @@ def year_errors(text: Column, known_years: Column, pattern: str = fixed.YEAR_PAT
     )
 
 
+def holds_any(text: Column, pieces: list[str]) -> Column:
+    """A plain search that rules most texts out before a pattern is tried."""
+
+    def found(lowered: Column) -> Column:
+        return reduce(lambda left, piece: left | F.contains(lowered, F.lit(piece)), pieces, F.lit(False))
+
+    return let(F.lower(text), found)
+
+
 # --- clients ---------------------------------------------------------------------------------
 def entity_names(text: Column) -> Column:
     """Names the text calls a client or company, in pattern order, repeats kept."""
@@ -62,7 +73,7 @@ def entity_names(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(fixed.regex(p)), F.lit(1)) for p in fixed.ENTITY_PATTERNS
     ]
     # The third pattern is slow on long texts without punctuation, so a plain search goes first.
-    may_match = F.rlike(text, F.lit(fixed.regex(fixed.ENTITY_PATTERN_3_WORDS)))
+    may_match = holds_any(text, fixed.ENTITY_PATTERN_3_PIECES)
     third = F.when(may_match, third).otherwise(F.array().cast("array<string>"))
     trimmed = F.transform(F.concat(first, second, third), strip)
     return F.filter(
@@ -100,20 +111,22 @@ def entity_warning(name: Column) -> Column:
 
 
 # --- phrases -----------------------------------------------------------------------------------
+def phrase_matches(text: Column) -> list[Column]:
+    """One truth value for each phrase rule."""
+    rules = zip(fixed.PHRASE_PIECES, fixed.PHRASE_RULES)
+    return [
+        holds_any(text, [piece]) & F.rlike(text, F.lit(fixed.regex(pattern))) for piece, (pattern, _) in rules
+    ]
+
+
 def phrase_warnings(text: Column) -> Column:
     """One warning for each phrase rule that matches."""
-    flags = [
-        F.when(F.rlike(text, F.lit(fixed.regex(pattern))), F.lit(f"AVISO: {description}"))
-        for pattern, description in fixed.PHRASE_RULES
-    ]
-    return F.array_compact(F.array(*flags))
+    matched = zip(phrase_matches(text), fixed.PHRASE_RULES)
+    return F.array_compact(F.array(*[F.when(m, F.lit(f"AVISO: {description}")) for m, (_, description) in matched]))
 
 
 def phrase_flags(responses: DataFrame) -> DataFrame:
-    flags = [
-        F.rlike("text", F.lit(fixed.regex(pattern))).alias(f"flag_{i}")
-        for i, (pattern, _) in enumerate(fixed.PHRASE_RULES, start=1)
-    ]
+    flags = [m.alias(f"flag_{i}") for i, m in enumerate(phrase_matches(F.col("text")), start=1)]
     return answers(responses).select("response_id", *flags)
 
 
