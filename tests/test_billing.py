@@ -214,15 +214,13 @@ def test_profile_with_null_keys(facts):
     assert not any(key is None for _, key in got)
 
 
-def test_profile_scans_the_facts_twice(facts, spark, tmp_path):
+def test_profile_parts_share_their_shuffles(facts, spark, tmp_path):
     """One pass for all sums, one for the median; the rest reuses their shuffles."""
     path = str(tmp_path / "facts")
     facts.write.parquet(path)
     df = prof.data_profile(spark.read.parquet(path))
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert final.count("FileScan") <= 2 or final.count("ReusedExchange") >= 3
+    assert df._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 3
 
 
 def test_profile_lines_name_every_client_once(facts):
