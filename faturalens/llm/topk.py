@@ -92,7 +92,8 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
     scores, ids = scores[:, order], ids[order]
     if len(ids) > k:
         # Everything above the k-th score, and then the smallest ids at that score.
-        edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        cut = len(ids) - k
+        edge = np.partition(scores, cut, axis=1)[:, cut : cut + 1]
         above = scores > edge
         level = scores == edge
         room = k - above.sum(axis=1, keepdims=True)
