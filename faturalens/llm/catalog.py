@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faturalens.llm import bpe_encode, common, mixing, token_count, topk
+from faturalens.llm import bpe_encode, common, language, mixing, token_count, topk, toxicity
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,11 @@ SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken FROM copie
 """
 
 
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode.digests(common.table(spark, folder, "documents"))
 
@@ -74,6 +79,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.token_counts(common.table(spark, folder, "documents"))
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, common.table(spark, folder, "labels")))
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(common.table(spark, folder, "embeddings"))
 
@@ -93,7 +103,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 QUERIES: dict[str, Query] = {
     "op2_systematic_mix": Query(op2, OP2_SQL),
+    "op5_language": Query(op5),
     "op6_bpe_roundtrip": Query(op6),
     "op7_token_counts": Query(op7),
+    "op9_toxicity": Query(op9),
     "op10_top_k": Query(op10, OP10_SQL),
 }

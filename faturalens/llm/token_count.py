@@ -159,7 +159,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
     def run(batch: pa.RecordBatch) -> dict:
         texts, counts = common.texts_of(batch), []
         for start, stop in common.slices(texts):
-            counts += counter(path).count([text.decode() for text in texts[start:stop]])
+            counts += counter(path).count([text.decode("utf-8", "replace") for text in texts[start:stop]])
         return {
             "doc_id": common.column(batch, "doc_id"),
             "n_bytes": pa.array([len(text) for text in texts], pa.int64()),
