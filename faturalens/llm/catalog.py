@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faturalens.llm import bpe_encode, common, language, mixing, token_count, topk, toxicity
+from faturalens.llm import bpe_encode, common, language, line_quality, mixing, token_count, topk, toxicity
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,11 @@ SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken FROM copie
 """
 
 
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    return line_quality.judge(docs, line_quality.learn(docs, common.table(spark, folder, "labels")))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents")
     return language.predict(docs, language.learn(docs))
@@ -103,6 +108,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 QUERIES: dict[str, Query] = {
     "op2_systematic_mix": Query(op2, OP2_SQL),
+    "op4_line_quality": Query(op4),
     "op5_language": Query(op5),
     "op6_bpe_roundtrip": Query(op6),
     "op7_token_counts": Query(op7),
