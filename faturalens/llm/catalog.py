@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faturalens.llm import bpe_encode, common, language, line_quality, mixing, token_count, topk, toxicity
+from faturalens.llm import bpe_encode, common, jaccard_join, language, line_quality, mixing, token_count, topk, toxicity
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,30 @@ class Query:
         return self.build(common.prepare(spark), folder)
 
 
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.classes(common.table(spark, folder, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g
+  FROM words WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, g FROM runs),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b USING (g)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(f.least, doc_id)) AS class_id, coalesce(d.n, 0)::BIGINT AS n_links
+FROM documents LEFT JOIN found f ON f.a = doc_id LEFT JOIN degree d ON d.a = doc_id
+"""
+
+
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(common.table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select(
@@ -107,6 +131,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": Query(op1, OP1_SQL),
     "op2_systematic_mix": Query(op2, OP2_SQL),
     "op4_line_quality": Query(op4),
     "op5_language": Query(op5),
