@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faturalens.llm import bpe_encode, common, jaccard_join, language, line_quality, mixing, token_count, topk, toxicity
+from faturalens.llm import bpe_encode, common, jaccard_join, language, line_quality, mixing, token_count, topk, toxicity, url_templates
 
 
 @dataclass(frozen=True)
@@ -90,6 +90,10 @@ SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken FROM copie
 """
 
 
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.judge(common.table(spark, folder, "pages"))
+
+
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents")
     return line_quality.judge(docs, line_quality.learn(docs, common.table(spark, folder, "labels")))
@@ -133,6 +137,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": Query(op1, OP1_SQL),
     "op2_systematic_mix": Query(op2, OP2_SQL),
+    "op3_url_templates": Query(op3),
     "op4_line_quality": Query(op4),
     "op5_language": Query(op5),
     "op6_bpe_roundtrip": Query(op6),
