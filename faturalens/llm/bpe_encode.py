@@ -269,7 +269,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids: the whole text's ids as little-endian unsigned 32-bit integers."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids = [encoder(path).encode(text.decode()) for text in common.texts_of(batch)]
+        ids = [encoder(path).encode(text.decode("utf-8", "replace")) for text in common.texts_of(batch)]
         return {
             "doc_id": common.column(batch, "doc_id"),
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -279,6 +279,22 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, and n_decoded: the code points of the text that the ids decode to."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        own = encoder(path)
+        ids = [own.encode(text.decode("utf-8", "replace")) for text in common.texts_of(batch)]
+        return {
+            "doc_id": common.column(batch, "doc_id"),
+            "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "n_decoded": pa.array([len(own.decode(x).decode()) for x in ids], pa.int64()),
+            "ids": pa.array(ids, pa.binary()),
+        }
+
+    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, n_decoded long, ids binary")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the decoded text of each row's ids."""
 
@@ -295,7 +311,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         own, counts, ids_hash, text_hash = encoder(path), [], [], []
         for text in common.texts_of(batch):
-            ids = own.encode(text.decode())
+            ids = own.encode(text.decode("utf-8", "replace"))
             counts.append(len(ids) // 4)
             ids_hash.append(hashlib.sha256(ids).hexdigest())
             text_hash.append(hashlib.sha256(own.decode(ids)).hexdigest())

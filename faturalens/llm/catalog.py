@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faturalens.llm import bpe_encode, common, jaccard_join, language, line_quality, mixing, token_count, topk, toxicity, url_templates
+from faturalens.llm import bpe_encode, common, jaccard_join, language, line_quality, mixing, site_quality, token_count, topk, toxicity, url_templates
 
 
 @dataclass(frozen=True)
@@ -112,6 +112,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.token_counts(common.table(spark, folder, "documents"))
 
 
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents table names no url: a source is the host, and a language inside it the path."""
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    return site_quality.score(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.learn(docs, common.table(spark, folder, "labels")))
@@ -134,6 +140,12 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": Query(op1, OP1_SQL),
     "op2_systematic_mix": Query(op2, OP2_SQL),
@@ -142,6 +154,8 @@ QUERIES: dict[str, Query] = {
     "op5_language": Query(op5),
     "op6_bpe_roundtrip": Query(op6),
     "op7_token_counts": Query(op7),
+    "op8_site_quality": Query(op8),
     "op9_toxicity": Query(op9),
     "op10_top_k": Query(op10, OP10_SQL),
+    "pipeline": Query(pipeline),
 }
