@@ -232,7 +232,8 @@ def candidates(sets: DataFrame) -> DataFrame:
     rows = sets.select(F.explode("buckets").alias("bucket"), "sid", F.lit(1 << 60).alias("parent"))
     ready = []
     for level in range(1, LEVELS + 1):
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        # Written before the join, whose plain shuffles can then be split where a bucket is hot.
+        sizes = common.written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
         sized = common.written(rows.join(sizes, "bucket"))
         large = F.col("size") > BUCKET
         stuck = F.lit(True) if level == LEVELS else F.col("size") > DENSE * F.col("parent")
@@ -299,7 +300,7 @@ def members(docs: DataFrame) -> DataFrame:
     )
     sets = common.written(merged.withColumn("sid", F.monotonically_increasing_id()))
     near = components(candidates(sets))
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = common.written(near.groupBy("root").agg(F.count("*").alias("size")))
     members = near.join(sizes, "root").withColumnRenamed("node", "sid")
     active = members.join(sets.select("sid", "copies", "one"), "sid")
     texts = docs.select("text", F.md5("text").alias("text_hash"), F.col("doc_id").alias("text_id"))
@@ -336,15 +337,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of a class the row with the smallest id stays (rows without an id come last, by text hash);
     of equal rows with that id and text, one.
     """
-    own = "jaccard_text_hash"
+    own = "text_hash"
     found = common.written(members(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("first")
     kept = found.where("root IS NOT NULL").groupBy("root").agg(first, F.count("*").alias("size"))
     kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    hashed = docs.drop(own).withColumn(own, F.md5("text"))
+    hashed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"), F.md5("text").alias(own))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(own) == F.col("kept_hash"))
     with_words = hashed.join(kept, same, "left_semi")
     if not found.where("root IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         with_words = with_words.dropDuplicates(["doc_id", own])
     without = hashed.where(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
-    return with_words.union(without).select(*docs.columns)
+    return with_words.union(without).select("row.*")

@@ -129,7 +129,8 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken."""
-    mixed = mix(docs, **options)
+    """The mix itself: the rows of docs, each as often as it is taken, whatever their columns are called."""
+    whole = F.struct(*docs.columns).alias("mix_row")
+    mixed = mix(docs.select("doc_id", "text", "source", whole), **options)
     times = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return mixed.where("mix_copies > 0").select(*docs.columns, times.alias("mix_time")).select(*docs.columns)
+    return mixed.where("mix_copies > 0").select("mix_row", times.alias("mix_time")).select("mix_row.*")
