@@ -100,7 +100,8 @@ def generalised(urls: DataFrame, depth: int) -> DataFrame:
         each = current.where("kind IS NOT NULL").groupBy(*branch, "segment").agg(F.sum("n").alias("n"))
         many = each.groupBy(*branch).agg(F.count("*").alias("different"), F.sum("n").alias("urls"))
         many = many.where((F.col("different") >= LEAST_KINDS) | (F.col("urls") <= MOST_PER_SEGMENT * F.col("different")))
-        wild = many.select(*branch, F.lit(True).alias("wild"))
+        # Written, so that the join has plain shuffles, which adaptive execution splits for a hot host.
+        wild = common.written(many.select(*branch, F.lit(True).alias("wild")))
         joined = current.join(wild, branch, "left")
         shown = F.when(F.col("wild"), F.col("kind")).otherwise(F.col("segment"))
         grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(shown)))
