@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is two joins and group-bys with map-side combining; a node with very many edges is
-never gathered in one task. Rounds are written to the shared checkpoint folder.
+never gathered in one task: the least neighbours are written, so that the join that reads them has
+plain shuffles on both sides, which adaptive execution splits. Rounds are written as well, to the
+shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least one of its neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = common.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     tied = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.where("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is tied to the least one."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = common.written(edges.groupBy("u").agg(F.min("v").alias("m")))
     tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return tied.union(own).where("u <> v").distinct()
