@@ -70,6 +70,15 @@ def file_rows(spark, d):
     return billing.union_by_name(*parts)
 
 
+def first_clients(spark, d):
+    """The first client of a year without rows and of one with rows."""
+    parts = [
+        agg.top_client(sel.select_facts(facts(spark, d), years=[year])).select(F.lit(str(year)).alias("chosen"), "client")
+        for year in (1900, 1998)
+    ]
+    return billing.union_by_name(*parts)
+
+
 # --- selection ------------------------------------------------------------------------------
 def selection(spark, d):
     chosen = sel.select_facts(
@@ -174,9 +183,9 @@ QUERIES = {
     ),
     "file_report": Query(
         file_rows,
-        """SELECT 'orders.parquet' AS file_name, count(*) AS rows_read, count(*) > 0 AS readable FROM orders
-           UNION ALL SELECT 'lineitem.parquet', count(*), count(*) > 0 FROM lineitem
-           UNION ALL SELECT 'customer.parquet', count(*), count(*) > 0 FROM customer""",
+        """SELECT 'orders.parquet' AS file_name, count(*) AS rows_read, count(*) > 0 AS readable, 'read' AS status FROM orders
+           UNION ALL SELECT 'lineitem.parquet', count(*), count(*) > 0, 'read' FROM lineitem
+           UNION ALL SELECT 'customer.parquet', count(*), count(*) > 0, 'read' FROM customer""",
     ),
     "selection_filter": Query(
         selection,
@@ -233,7 +242,12 @@ QUERIES = {
         ),
     ),
     "top_client_of_nothing": Query(
-        lambda s, d: agg.top_client(sel.select_facts(facts(s, d), years=[1900])), "SELECT '-' AS client"
+        first_clients,
+        on_facts(
+            """SELECT '1900' AS chosen, '-' AS client UNION ALL SELECT '1998', (SELECT client FROM (
+                 SELECT client, sum(amount) AS v FROM facts WHERE year = 1998 AND client IS NOT NULL
+                 GROUP BY client ORDER BY v DESC, client LIMIT 1))"""
+        ),
     ),
     "panel_indicators": Query(
         lambda s, d: agg.indicators(facts(s, d, [Y, M, C, A])),

@@ -101,12 +101,11 @@ def normalized(spark, d):
 
 
 def contract_rows(spark, d):
-    # Contract and text checks share one reading of the texts; only slim rows are shuffled.
+    # Contract and text checks share one reading of the texts. The verdict depends on the row's
+    # own errors alone, so that nothing but the years is shuffled.
     years = sel.known_years(facts(spark, d, [Y])).scalar()
-    rows = val.text_checks(contracts(spark, d), years, YEAR_PATTERN, answers_only=False).select(
-        "response_id", "erro_llm", "content_empty", "contract_ok", "erro_conteudo", "errors", "phrases", "names"
-    )
-    return pl.valid_by_content(val.verdicts(rows, facts(spark, d, [C]))).select(
+    rows = val.text_checks(contracts(spark, d), years, YEAR_PATTERN, answers_only=False)
+    return pl.valid_by_content(rows.withColumn("valid", val.is_valid(F.col("errors")))).select(
         "response_id", "content_empty", "contract_ok", "erro_conteudo", "valid_by_content"
     )
 
@@ -280,7 +279,7 @@ CONTRACT_SQL = f"""contract AS (
   FROM (SELECT *, {STRIP.format('texto_markdown')} = '' AND {STRIP.format('resumo_executivo')} = ''
       AND n_kpis + n_insights + n_pontos_de_atencao = 0 AS content_empty FROM payload))"""
 CHOSEN_SQL = """chosen AS (
-  SELECT * FROM (SELECT *, contract_ok OR erro_llm IS NOT NULL AS stops FROM contract WHERE attempt <= 3)
+  SELECT * FROM (SELECT *, contract_ok OR erro_llm IS NOT NULL AS stops FROM contract)
   QUALIFY row_number() OVER (PARTITION BY run_id, area ORDER BY stops DESC, CASE WHEN stops THEN attempt ELSE -attempt END) = 1)"""
 PAYLOAD_CTES = [responses_sql(), EXTRACT_SQL, PAYLOAD_SQL, CONTRACT_SQL, CHOSEN_SQL]
 

@@ -15,9 +15,14 @@ COLUMN_ALIASES = {
 }
 FACT_COLUMNS = ["year", "month", "client", "collaborator", "amount"]
 
+# --- fixed values: every character with the Unicode property White_Space ------------------
+BLANKS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: areas ---------------------------------------------------------------
 AREAS = ["financeiro", "operacional", "estrategico"]
-MAX_ATTEMPTS = 3
 
 # --- fixed values: mention patterns ------------------------------------------------------
 YEAR_PATTERN = r"\b(202[0-9])\b"
@@ -68,7 +73,9 @@ REPORT_HEADINGS = [
 ]
 
 # --- fixed values: model errors -----------------------------------------------------------
-MODEL_ERROR_PREFIXES = ["[!]", "❌"]
+MODEL_ERROR_PREFIXES = ["[!]"]
+# What the model client itself puts before its errors; a wider list that callers may choose.
+MODEL_ERROR_PREFIXES_WIDE = ["[!]", "❌"]
 MODEL_ERROR_NULL = "resposta None"
 MODEL_ERROR_PREFIX = "resposta inválida ou prefixo [!]"
 

@@ -9,7 +9,7 @@ from faturalens.functions import fixed
 
 def strip(text: Column) -> Column:
     """Trim every kind of blank, line breaks included, at both ends."""
-    return F.regexp_extract(text, r"(?sU)^\s*(.*\S)\s*\z", 1)
+    return F.btrim(text, F.lit(fixed.BLANKS))
 
 
 def is_blank(text: Column) -> Column:

@@ -85,22 +85,19 @@ def valid_by_content(verdict: DataFrame) -> DataFrame:
     )
 
 
-def select_attempt(
-    contracts: DataFrame, keys: tuple[str, ...] = ("run_id", "area"), max_attempts: int = fixed.MAX_ATTEMPTS
-) -> DataFrame:
+def select_attempt(contracts: DataFrame, keys: tuple[str, ...] = ("run_id", "area")) -> DataFrame:
     """The attempt each run ends with.
 
-    Attempts count up to the limit. The first that keeps the contract, or that is a model
-    error, ends the run; without one the last attempt stands. The rank filter is applied in
-    every task before rows move.
+    The first that keeps the contract, or that is a model error, ends the run; without one
+    the last attempt stands, however many there are. The rank filter is applied in every
+    task before rows move.
     """
     stops = F.col("contract_ok") | F.col("erro_llm").isNotNull()
     order = Window.partitionBy(*keys).orderBy(
         F.desc("_stops"), F.when(F.col("_stops"), F.col("attempt")).otherwise(-F.col("attempt"))
     )
     return (
-        contracts.where(F.col("attempt") <= max_attempts)
-        .withColumn("_stops", stops)
+        contracts.withColumn("_stops", stops)
         .withColumn("_place", F.row_number().over(order))
         .where("_place = 1")
         .drop("_stops", "_place")

@@ -17,10 +17,14 @@ from faturalens.functions.text import is_blank, listing, strip
 
 
 # --- model errors ------------------------------------------------------------------------
-def model_error(text: Column) -> Column:
-    """Why a row holds no answer; null for a real one."""
+def model_error(text: Column, prefixes: list[str] | None = None) -> Column:
+    """Why a row holds no answer; null for a real one.
+
+    A text that the model client marked as failed is an answer by default: it is checked,
+    logged and tried again. `fixed.MODEL_ERROR_PREFIXES_WIDE` treats it as an error.
+    """
     prefixed = F.lit(False)
-    for prefix in fixed.MODEL_ERROR_PREFIXES:
+    for prefix in fixed.MODEL_ERROR_PREFIXES if prefixes is None else prefixes:
         prefixed = prefixed | F.startswith(text, F.lit(prefix))
     return F.when(text.isNull(), F.lit(fixed.MODEL_ERROR_NULL)).when(prefixed, F.lit(fixed.MODEL_ERROR_PREFIX))
 
@@ -162,6 +166,11 @@ def text_checks(
     ).drop("_known_years")
 
 
+def is_valid(errors: Column) -> Column:
+    """A response is valid without errors; warnings don't count."""
+    return F.size(errors) == 0
+
+
 def verdicts(checked: DataFrame, clients: DataFrame) -> DataFrame:
     """Warnings and verdict per response out of `text_checks`.
 
@@ -190,7 +199,7 @@ def verdicts(checked: DataFrame, clients: DataFrame) -> DataFrame:
     return (
         grouped.withColumn("all_warnings", F.concat(entity, "phrases"))
         .withColumn("warnings", real_warnings(F.col("all_warnings")))
-        .withColumn("valid", F.size("errors") == 0)
+        .withColumn("valid", is_valid(F.col("errors")))
         .select("response_id", *carried, "all_warnings", "warnings", "valid")
     )
 

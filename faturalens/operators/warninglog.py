@@ -179,7 +179,8 @@ def log_report(log: DataFrame, stamp: Column | None = None, n: int = 5) -> DataF
             for i, (above, (_, _, text)) in enumerate(zip(over, fixed.SUGGESTIONS), start=1)
         ],
     ]
-    mean = F.format_string("%.1f", F.col("listed") / F.greatest("runs", F.lit(1)))
+    # Rounded half to even on the binary value: 0.25 shows as 0.2.
+    mean = F.call_function("format_number", F.col("listed") / F.greatest("runs", F.lit(1)), F.lit("0.0"))
     per_assistant = [
         line(1, F.concat(F.lit("### "), F.upper(name)), 0, F.concat(name, F.lit("/0"))),
         line(1, F.concat(F.lit("- Execuções: "), F.col("runs").cast("string")), 0, F.concat(name, F.lit("/1"))),

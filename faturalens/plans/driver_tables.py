@@ -107,8 +107,8 @@ SELECT concat('document-', doc_id), concat('source-', source, '-', doc_id), 'ope
        CAST('2024-01-01 00:00:00' AS TIMESTAMP), text
 FROM <documents>
 UNION ALL
-SELECT concat('turn-', conv_id, '-', turn), concat('conversation-', conv_id),
-       CASE WHEN role = 'user' THEN 'financeiro' ELSE 'estrategico' END, CAST(turn + 1 AS INTEGER),
+SELECT concat('turn-', conv_id, '-', turn), concat('conversation-', conv_id, '-', turn),
+       CASE WHEN role = 'user' THEN 'financeiro' ELSE 'estrategico' END, 1,
        CAST('2024-01-02 00:00:00' AS TIMESTAMP), text
 FROM <conversations>
 """

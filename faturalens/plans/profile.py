@@ -55,8 +55,14 @@ def _levels(facts: DataFrame) -> DataFrame:
         .when(F.col("_at.level") == "all", F.lit(True))
         .otherwise(F.col("_at.name").isNotNull())
     )
+    # A profile of nothing still has its totals and its counts of names, which are zero.
+    zeros = facts.sparkSession.range(1).select(
+        F.explode(F.array(*[level(name) for name in ("all", "client", "collaborator")])).alias("_at"),
+        *[F.lit(0).cast(kind).alias(name) for name, kind in (("records", "long"), ("amounts", "long"))],
+    )
     return (
         rows.where(complete)
+        .unionByName(zeros, allowMissingColumns=True)
         .groupBy("_at")
         .agg(
             F.sum("records").alias("records"),
@@ -103,8 +109,8 @@ def data_profile(facts: DataFrame, amounts: DataFrame | None = None, exact_media
         _entry("ativos", month_key, F.col("people"), at == "month"),
         _entry("faturamento_mes", month_key, F.col("revenue"), at == "month"),
         _entry("faturamento_ano", year_key, F.col("revenue"), at == "year"),
-        _entry("clientes", name, F.col("revenue"), at == "client"),
-        _entry("colaboradores", name, F.col("revenue"), at == "collaborator"),
+        _entry("clientes", name, F.col("revenue"), (at == "client") & name.isNotNull()),
+        _entry("colaboradores", name, F.col("revenue"), (at == "collaborator") & name.isNotNull()),
         one("registros", "records"),
         one("minimo", "lowest"),
         one("maximo", "highest"),
@@ -115,7 +121,7 @@ def data_profile(facts: DataFrame, amounts: DataFrame | None = None, exact_media
     def first(measure: str, wanted: list[str]) -> DataFrame:
         # The rank filter keeps TOP rows per level in every task before they move.
         order = Window.partitionBy("level").orderBy(F.desc(measure), "name")
-        return levels.where(at.isin(wanted)).withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {TOP}")
+        return levels.where(at.isin(wanted) & name.isNotNull()).withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {TOP}")
 
     # Never emitted. It keeps every measure in use, so that the parts do not prune the first
     # aggregation in different ways and its shuffle stays one.

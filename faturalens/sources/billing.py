@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
+from pyspark.errors.exceptions.base import PySparkException as SparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from faturalens.functions import fixed
 
@@ -56,8 +61,86 @@ def read_folder(
 
 
 def read_billing(spark: SparkSession, folder: str, fmt: str = "parquet", **options) -> DataFrame:
-    """The billing table of a folder under canonical names and types."""
-    return conform(normalize_headers(read_folder(spark, folder, fmt, **options)))
+    """The billing table of a folder under canonical names and types, whatever the order, case and types of each file's columns.
+
+    CSV files are grouped by header, since Spark matches their columns by place. Other files are
+    read at once; only where their schemas don't go together are they grouped by schema. The
+    plan grows with the number of different headers or schemas, not with that of the files.
+    """
+    if fmt == "csv":
+        return read_csv_groups(spark, folder, **options)
+    try:
+        merged = read_folder(spark, folder, fmt, **options)
+    except (AnalysisException, SparkRuntimeException, Py4JJavaError, SparkException):
+        if fmt not in ("parquet", "orc"):
+            raise
+        return read_schema_groups(spark, folder, fmt, **options)
+    return conform(coalesce_headers(merged))
+
+
+def coalesce_headers(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Canonical names; columns that files spell differently become one, the first filled value of a row."""
+    aliases = fixed.COLUMN_ALIASES if aliases is None else aliases
+    places: dict[str, list[int]] = {}
+    for place, name in enumerate(df.columns):
+        plain = name.strip().lower()
+        places.setdefault(aliases.get(plain, plain), []).append(place)
+    numbered = df.toDF(*[f"_{place}" for place in range(len(df.columns))])
+    same = {name: len({df.dtypes[i][1] for i in own}) == 1 for name, own in places.items()}
+    return numbered.select(
+        *[
+            F.coalesce(*[F.col(f"_{i}") if same[name] else F.col(f"_{i}").cast("string") for i in own]).alias(name)
+            for name, own in places.items()
+        ]
+    )
+
+
+def csv_headers(spark: SparkSession, folder: str, pattern: str) -> dict[str, list[str]]:
+    """The files of each header line. Lines are scanned where they lie; one per file reaches the driver."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+    first = lines.where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+    first = first.select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"))
+    first = first.groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.select(decoded(F.col("path")).alias("path"), "header").orderBy("path").collect():
+        groups.setdefault(row["header"].lstrip("\ufeff"), []).append(row["path"])
+    return groups
+
+
+def read_csv_groups(spark: SparkSession, folder: str, pattern: str | None = None, schema: str | None = None, **options) -> DataFrame:
+    """CSV files by header: columns are read as text and get their types by name afterwards."""
+    separator = options.get("sep", options.get("delimiter", ","))
+    quote = options.get("quote", '"')
+    settings = {**DEFAULT_OPTIONS["csv"], "inferSchema": "false", **options}
+    tables = []
+    for header, paths in csv_headers(spark, folder, pattern or EXTENSIONS["csv"]).items():
+        names = next(csv.reader([header], delimiter=separator, quotechar=quote))
+        # A header without a name for each column, or with one twice, keeps what it can name.
+        kind = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(kind).options(**settings).option("basePath", folder)
+        rows = raw.csv([glob_free(path) for path in paths])
+        tables.append(conform(coalesce_headers(rows.toDF(*names, *rows.columns[len(names) :]))))
+    if not tables:
+        return conform(spark.createDataFrame([], T.StructType([])))
+    return union_by_name(*tables)
+
+
+def read_schema_groups(
+    spark: SparkSession, folder: str, fmt: str, pattern: str | None = None, skip_unreadable: bool = True, schema: str | None = None, **options
+) -> DataFrame:
+    """Files by schema; each group is brought to canonical names and types before the union."""
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for row in list_files(spark, folder, pattern or EXTENSIONS[fmt]).select("path").orderBy("path").collect():
+        try:
+            own = spark.read.format(fmt).options(**options).load(glob_free(row["path"])).schema
+        except (AnalysisException, SparkRuntimeException, Py4JJavaError, SparkException):
+            if not skip_unreadable:
+                raise
+            continue
+        groups.setdefault(own.json(), (own, []))[1].append(row["path"])
+    reader = lambda own: spark.read.format(fmt).schema(own).options(**options).option("basePath", folder)
+    tables = [conform(coalesce_headers(reader(own).load([glob_free(p) for p in paths]))) for own, paths in groups.values()]
+    return union_by_name(*tables) if tables else conform(spark.createDataFrame([], T.StructType([])))
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -71,32 +154,64 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*known, *[c for c in df.columns if c not in types])
 
 
+def decoded(path: Column) -> Column:
+    """A path as it is listed, out of the encoded form that scans report."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def plain_path(path: Column) -> Column:
+    """One spelling of a local path, with or without an empty authority."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def glob_free(path: str) -> str:
+    """A path whose name is taken as it is, not as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Names and sizes of the matching files; the contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"))
-    )
+    """Paths, names inside the folder and sizes of the matching files; the contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    base = F.regexp_replace(F.lit(qualified(spark, folder).rstrip("/") + "/"), "^file:/+", "file:/")
+    path = plain_path(F.col("path"))
+    inside = F.when(F.startswith(path, base), F.substr(path, F.length(base) + 1)).otherwise(F.element_at(F.split(path, "/"), -1))
+    return files.select("path", path.alias("plain"), inside.alias("file_name"), F.col("length").alias("bytes"))
 
 
 def file_report(spark: SparkSession, folder: str, fmt: str = "parquet", pattern: str | None = None, **options) -> DataFrame:
-    """One row per matching file: rows read from it, and whether it gave any.
+    """One row per matching file: its name inside the folder, rows read from it, and its status.
 
-    A file that could not be read, or holds no rows, has `rows_read` 0.
+    `status` is `read`, `empty` for a file that can be read but holds no row, or `unreadable`.
+    Files are told apart by their full path, so equal names in different folders stay apart.
+    Only files that gave no row are opened one by one.
     """
     rows = (
         read_folder(spark, folder, fmt, pattern, **options)
-        .groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"))
+        .groupBy(plain_path(decoded(F.col("_metadata.file_path"))).alias("plain"))
         .agg(F.count(F.lit(1)).alias("rows_read"))
     )
     files = list_files(spark, folder, pattern or EXTENSIONS[fmt])
-    return files.join(rows, "file_name", "left").select(
-        "file_name",
-        F.coalesce("rows_read", F.lit(0)).alias("rows_read"),
-        (F.coalesce("rows_read", F.lit(0)) > 0).alias("readable"),
-    )
+    counted = files.join(rows, "plain", "left").withColumn("rows_read", F.coalesce("rows_read", F.lit(0)))
+    empty = [row["path"] for row in counted.where("rows_read = 0").select("path").collect() if opens(spark, fmt, row["path"])]
+    status = F.when(F.col("rows_read") > 0, "read").when(F.col("path").isin(empty), "empty").otherwise("unreadable")
+    return counted.select("file_name", "rows_read", (status != "unreadable").alias("readable"), status.alias("status"))
+
+
+def opens(spark: SparkSession, fmt: str, path: str) -> bool:
+    """Whether a file without rows can be read at all."""
+    try:
+        options = DEFAULT_OPTIONS.get(fmt, {})
+        reader = spark.read.format(fmt).options(**options).option("ignoreCorruptFiles", "false")
+        # A text format without a line has no schema to infer.
+        (reader if fmt in ("parquet", "orc") else reader.schema("value string")).load(glob_free(path)).isEmpty()
+    except (AnalysisException, SparkRuntimeException, Py4JJavaError, SparkException):
+        return False
+    return True
 
 
 def has_rows(df: DataFrame) -> bool:

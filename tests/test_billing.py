@@ -24,7 +24,45 @@ def test_colliding_headers_are_refused(spark):
         billing.normalize_headers(df)
 
 
-def test_folder_of_csv_with_differing_columns_and_a_broken_file(spark, tmp_path):
+def test_folder_of_csv_with_differing_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Ano,Mês,NmCliente,NmColaborador,VlrFaturamento\n2025,1,Alfa,Ana,10.5\n2025,2,Beta,Bia,20\n")
+    (tmp_path / "fatura março {1}.csv").write_text("\nMês, ANO ,VlrFaturamento,NmCliente,Obs\n3,2026,30,Gama,x\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = billing.read_billing(spark, str(tmp_path), "csv")
+    assert got.columns == ["year", "month", "client", "collaborator", "amount", "obs"]
+    assert rows(got.orderBy("month")) == [
+        (2025, 1, "Alfa", "Ana", Decimal("10.5000"), None),
+        (2025, 2, "Beta", "Bia", Decimal("20.0000"), None),
+        (2026, 3, "Gama", None, Decimal("30.0000"), "x"),
+    ]
+
+
+def test_folder_of_parquet_with_differing_headers_and_types(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.sql("SELECT 2025 AS ` Ano `, 1 AS vlrfaturamento").coalesce(1).write.mode("append").parquet(folder)
+    spark.sql("SELECT 2026L AS ano, 2.5D AS vlrfaturamento").coalesce(1).write.mode("append").parquet(folder)
+    spark.sql("SELECT 2027 AS ano, 'Alfa' AS NmCliente").coalesce(1).write.mode("append").parquet(folder)
+    (tmp_path / "t" / "broken.parquet").write_bytes(b"PAR1 this is no parquet file PAR1")
+    got = billing.read_billing(spark, folder).orderBy("year")
+    assert [(r.year, r.client, r.amount) for r in got.collect()] == [
+        (2025, None, Decimal("1.0000")), (2026, None, Decimal("2.5000")), (2027, "Alfa", None),
+    ]
+
+
+def test_file_report_tells_paths_and_empty_files_apart(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.sql("SELECT 1 AS a, 2025 AS year UNION ALL SELECT 2, 2026 UNION ALL SELECT 3, 2026").coalesce(1).write.partitionBy("year").parquet(folder)
+    got = {r.file_name.split("/")[0]: (r.rows_read, r.status) for r in billing.file_report(spark, folder).collect()}
+    assert got == {"year=2025": (1, "read"), "year=2026": (2, "read")}
+    other = tmp_path / "c"
+    other.mkdir()
+    (other / "fatura março 1+2.csv").write_text("a,b\n1,2\n")
+    (other / "head.csv").write_text("a,b\n")
+    got = {r.file_name: (r.rows_read, r.status) for r in billing.file_report(spark, str(other), "csv").collect()}
+    assert got == {"fatura março 1+2.csv": (1, "read"), "head.csv": (0, "empty")}
+
+
+def test_folder_of_csv_beside_other_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Ano,Mês,NmCliente,VlrFaturamento\n2025,1,Alfa,10.5\n2025,2,Beta,20\n")
     (tmp_path / "notes.txt").write_text("not a table")
     df = billing.read_billing(spark, str(tmp_path), "csv")
@@ -58,6 +96,13 @@ def test_no_rows_is_seen(facts):
     assert not billing.has_rows(facts.where("year = 1900"))
 
 
+def test_profile_of_nothing_has_its_zero_rows(spark, facts):
+    got = {(r.section, r.key): r.value for r in prof.data_profile(facts.limit(0)).collect()}
+    assert got[("total", "registros")] == got[("total", "soma")] == 0
+    assert got[("identificados", "clientes")] == got[("identificados", "colaboradores")] == 0
+    assert set(got) == {("total", k) for k in "registros minimo maximo soma media mediana".split()} | {("identificados", k) for k in ("clientes", "colaboradores")}
+
+
 # --- selection --------------------------------------------------------------------------
 def test_selection_without_lists_keeps_null_rows(facts):
     assert sel.select_facts(facts).count() == 8

@@ -1,5 +1,7 @@
+import pytest
+
 from faturalens.operators import warninglog as wl
-from faturalens.streaming.answers import log_answers
+from faturalens.streaming.answers import checkpoint_of, log_answers
 
 
 def test_stream_of_answers_becomes_the_log(spark, facts, tmp_path):
@@ -20,4 +22,14 @@ def test_stream_of_answers_becomes_the_log(spark, facts, tmp_path):
         ("financeiro", 1, 1),
         ("operacional", 0, 0),
     }
-    assert {r.assistente: r.execucoes for r in wl.runs_per_assistant(got).collect()} == {"financeiro": 1, "operacional": 1}
+    # A failed call's text is an answer and is logged; a null one isn't.
+    assert {r.assistente: r.execucoes for r in wl.runs_per_assistant(got).collect()} == {"financeiro": 1, "operacional": 2}
+    arrive(("c", "operacional", "cliente Alfa, subiu"))
+    assert spark.read.parquet(log).count() == 4
+    with pytest.raises(ValueError, match="checkpoint"):
+        log_answers(spark.readStream.schema(schema).parquet(source), facts.select("year"), facts.select("client"), log, str(tmp_path / "new"))
+
+
+def test_two_logs_have_checkpoints_of_their_own():
+    assert checkpoint_of("/shared/", "/logs/a/") == checkpoint_of("/shared", "/logs/a")
+    assert checkpoint_of("/shared", "/logs/a") != checkpoint_of("/shared", "/logs/b")

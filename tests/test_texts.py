@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from conftest import rows
@@ -85,7 +86,8 @@ def test_verdict(spark, facts):
         "[!] falha",
         "cliente Zeta, cliente Zeta, cliente Zeta cresceu",
     ])
-    assert set(got) == {"0", "1", "5"}
+    # The text of a failed call is checked like an answer.
+    assert set(got) == {"0", "1", "3", "5"}
     assert (got["0"].valid, got["0"].errors, got["0"].all_warnings) == (True, [], [])
     assert got["1"].errors == ["Menção a ano 2024 que não existe nos dados (anos disponíveis: [2025, 2026])"]
     assert got["1"].all_warnings == ["Cliente/Empresa 'Zeta' não encontrado na planilha"]
@@ -182,7 +184,7 @@ def test_normalisation(spark):
     assert (b.texto_markdown, b.json_error, b.contract_ok) == ("{}", None, True)
     assert (c.schema_version, len(c.insights), c.checagem) == ("1.1", 2, (False, False))
     assert (d.texto_markdown, d.erro_llm, d.json_error, d.contract_ok) == ("", fixed.MODEL_ERROR_NULL, None, False)
-    assert (e.texto_markdown, e.erro_llm) == ("❌ Erro {}", fixed.MODEL_ERROR_PREFIX)
+    assert (e.texto_markdown, e.erro_llm) == ("❌ Erro {}", None)
     assert (f.content_empty, f.contract_ok, f.erro_conteudo) == (True, False, fixed.EMPTY_CONTENT)
 
 
@@ -192,7 +194,9 @@ def test_normalisation(spark):
         ([(1, "x"), (2, '{"texto":"a"}'), (3, '{"texto":"b"}')], 2),
         ([(1, "x"), (2, "y"), (3, "z")], 3),
         ([(1, "x"), (2, None), (3, '{"texto":"b"}')], 2),
-        ([(1, "x"), (4, '{"texto":"b"}')], 1),
+        ([(1, "x"), (4, '{"texto":"b"}')], 4),
+        ([(1, "x"), (2, "y"), (7, "z")], 7),
+        ([(1, "❌ Erro"), (2, '{"texto":"a"}')], 2),
     ],
 )
 def test_attempt_choice(spark, attempts, chosen):
@@ -241,6 +245,20 @@ def test_cited_check(spark):
     assert got == {"a": (3, 2, False), "b": (0, 0, True)}
 
 
+def test_strip_is_linear_and_knows_every_blank(spark):
+    blanks = "".join(c for c in map(chr, range(0x3100)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+    assert column(spark, [blanks + "a" + blanks + "b" + blanks, blanks], tx.strip(F.col("text"))) == ["a" + blanks + "b", ""]
+    start = time.perf_counter()
+    assert column(spark, [" " * 1_000_000], tx.strip(F.col("text"))) == [""]
+    assert time.perf_counter() - start < 10
+
+
+def test_wide_error_prefixes_are_a_choice(spark):
+    wide = val.model_error(F.col("text"), fixed.MODEL_ERROR_PREFIXES_WIDE)
+    assert column(spark, ["❌ x", "[!] x", "x"], wide) == [fixed.MODEL_ERROR_PREFIX] * 2 + [None]
+    assert column(spark, ["❌ x"], val.model_error(F.col("text"))) == [None]
+
+
 def test_shaping(spark):
     assert column(spark, ["  a b\n", "\u00a0x", " \n", None], tx.strip(F.col("text"))) == ["a b", "x", "", None]
     assert column(spark, ["a<b>&#*", None], tx.sanitize(F.col("text"))) == ["ab", ""]
