@@ -183,10 +183,8 @@ def self_checks(spark, d):
 
 
 def cited_rows(spark, d):
-    numbers = prof.fact_numbers(prof.data_profile(facts(spark, d), facts(spark, d, [A]))).scalar()
-    return cited.cited_check(val.answers(responses(spark, d)), numbers).select(
-        "response_id", "cited", "verified", "all_verified"
-    )
+    profile = prof.data_profile(facts(spark, d), facts(spark, d, [A]))
+    return cited.cited_in_profile(val.answers(responses(spark, d)), profile)
 
 
 # --- SQL side ------------------------------------------------------------------------------
@@ -322,7 +320,7 @@ CITED_SQL = f"""SELECT response_id, CAST(len(figures) AS INTEGER) AS cited, CAST
            WHEN regexp_matches(n, {q(cited.COMMA_GROUPED)}) THEN replace(n, ',', '')
            WHEN regexp_matches(n, {q(cited.PLAIN)}) THEN n END AS DOUBLE)) AS figures
     FROM answers CROSS JOIN (SELECT list(DISTINCT value) AS numbers FROM profile
-      WHERE section NOT IN ('clientes', 'colaboradores') AND value IS NOT NULL)))"""
+      WHERE value IS NOT NULL)))"""
 
 QUERIES = {
     "year_mentions": Query(

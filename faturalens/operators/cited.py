@@ -60,3 +60,46 @@ def cited_check(responses: DataFrame, numbers: Column, tolerance: float = fixed.
         .withColumn("all_verified", F.col("cited") == F.col("verified"))
         .drop("_numbers", "_figures")
     )
+
+
+# Bins of the logarithm, narrower than the span that the tolerance allows.
+BIN = 0.004
+ZERO_BIN = -(10**9)
+
+
+def bin_of(value: Column) -> Column:
+    return F.when(value > 0, F.floor(F.log(value) / BIN)).when(value == 0, ZERO_BIN)
+
+
+def value_bins(profile: DataFrame) -> DataFrame:
+    """The least and the largest profile value of each bin; bounded by the range of a double, not by the profile."""
+    values = profile.where("value >= 0").withColumn("bin", bin_of(F.col("value")))
+    return values.groupBy("bin").agg(F.min("value").alias("least"), F.max("value").alias("largest"))
+
+
+def cited_in_profile(responses: DataFrame, profile: DataFrame, tolerance: float = fixed.CITED_TOLERANCE) -> DataFrame:
+    """`(response_id, cited, verified, all_verified)` against every value of the profile, names included.
+
+    A figure's tolerance spans whole bins and the ends of two more. In a bin that it spans any
+    value will do; in the lower one the largest value decides, in the upper one the least. So
+    the two ends of each bin stand for all values, however many names there are.
+    """
+    figure = F.col("figure")
+    figures = F.transform(cited_numbers(F.col("text")), parse_number)
+    rows = responses.select("response_id", F.posexplode_outer(figures).alias("position", "figure"))
+    # One bin more on either side, for the rounding of logarithms.
+    low, high = bin_of(figure / (1 + tolerance)) - 1, bin_of(figure / (1 - tolerance)) + 1
+    spans = F.when(figure == 0, F.array(F.lit(ZERO_BIN).cast("long"))).otherwise(F.sequence(low, high))
+    placed = rows.withColumn("bin", F.explode_outer(spans))
+    # At most one row for each bin of a double's range: a bound that no data exceeds.
+    found = placed.join(F.broadcast(value_bins(profile)), "bin", "left")
+
+    def near(value: str) -> Column:
+        return F.abs(figure - F.col(value)) <= F.abs(value) * tolerance
+
+    hit = F.coalesce(near("least") | near("largest"), F.lit(False))
+    counted = found.groupBy("response_id").agg(
+        F.size(F.collect_set("position")).alias("cited"),
+        F.size(F.collect_set(F.when(hit, F.col("position")))).alias("verified"),
+    )
+    return counted.withColumn("all_verified", F.col("cited") == F.col("verified"))

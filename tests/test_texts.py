@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 import pytest
@@ -245,6 +246,19 @@ def test_cited_check(spark):
     assert got == {"a": (3, 2, False), "b": (0, 0, True)}
 
 
+def test_cited_in_profile_equals_all_pairs(spark):
+    source = random.Random(3)
+    values = [0.0, -5.0, None] + [round(10 ** source.uniform(-2, 7), 4) for _ in range(300)]
+    profile = spark.createDataFrame([("s", str(i), v) for i, v in enumerate(values)], "section string, key string, value double")
+    figures = [0.0] + [round(abs(v or 1) * source.choice([1, 1.004, 1.005, 1.0051, 0.996, 0.995, 0.9949, 1.02]), 4) for v in values] + [round(10 ** source.uniform(-2, 7), 4) for _ in range(200)]
+    texts = ["R$ " + " R$ ".join(f"{f:.4f}" for f in figures[i : i + 7]) for i in range(0, len(figures), 7)] + ["nada", "R$ 1.2.3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "response_id int, text string")
+    numbers = F.array(*[F.lit(v) for v in values if v is not None])
+    want = {r.response_id: (r.cited, r.verified) for r in cited.cited_check(df, numbers).collect()}
+    got = {r.response_id: (r.cited, r.verified) for r in cited.cited_in_profile(df, profile).collect()}
+    assert got == want
+
+
 def test_strip_is_linear_and_knows_every_blank(spark):
     blanks = "".join(c for c in map(chr, range(0x3100)) if c.isspace() and not "\x1c" <= c <= "\x1f")
     assert column(spark, [blanks + "a" + blanks + "b" + blanks, blanks], tx.strip(F.col("text"))) == ["a" + blanks + "b", ""]
