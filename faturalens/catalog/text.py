@@ -126,20 +126,31 @@ def sections(spark, d):
 
 
 def documents(spark, d):
-    chosen = pl.select_attempt(contracts(spark, d))
-    docs = rep.payload_documents(
-        pl.typed_payload(chosen).select("response_id", "area", "schema_version", "texto_markdown", "kpis", "insights", "erro_llm"),
-        F.lit("2024-01-01T00:00:00"),
-    )
+    years = sel.known_years(facts(spark, d, [Y])).scalar()
+    rows = val.text_checks(contracts(spark, d), years, YEAR_PATTERN, answers_only=False)
+    whole = pl.area_payloads(rows, facts(spark, d, [C]))
+    docs = rep.payload_documents(whole, F.lit("2024-01-01T00:00:00"))
+    payload = F.col("payload")
     return docs.select(
         "document_version",
         "generated_at",
         "area",
         "payload.response_id",
         "payload.schema_version",
+        F.col("payload.resumo_executivo").alias("summary"),
         F.size("payload.kpis").alias("n_kpis"),
-        joined(F.col("payload.kpis.id"), ",").alias("kpi_ids"),
-        joined(F.col("payload.insights.id"), ",").alias("insight_ids"),
+        *[joined(payload["kpis"][name], ",").alias(f"kpi_{name}") for name in pl.KPI_FIELDS if name != "valor"],
+        *[joined(payload["insights"][name], ",").alias(f"insight_{name}") for name in pl.INSIGHT_FIELDS],
+        joined(F.flatten(F.array_compact("payload.insights.evidencias")), ",").alias("evidence"),
+        joined("payload.pontos_de_atencao", ",").alias("points"),
+        F.col(f"payload.checagem.{CHECKS[0]}").alias("check_years"),
+        F.col(f"payload.checagem.{CHECKS[1]}").alias("check_numbers"),
+        joined("payload.avisos_validador").alias("warnings"),
+        joined(F.array_sort("payload.alucinacoes_validador")).alias("errors"),
+        "payload.erro_json",
+        "payload.erro_conteudo",
+        "payload.erro_llm",
+        "payload.valido_por_conteudo",
         F.col("payload.texto_markdown").alias("body"),
     )
 
@@ -152,6 +163,7 @@ def previews(spark, d):
         .select("response_id", "area", source.alias("source"))
         .where(~tx.is_blank(F.col("source")))
         .select("response_id", "area", tx.sanitize(tx.preview(F.col("source"))).alias("preview"))
+        .where(~tx.is_blank(F.col("preview")))
     )
 
 
@@ -293,6 +305,12 @@ def items(field, fields):
         SELECT response_id, area, CASE WHEN json_type(p, '$.{field}') = 'ARRAY' THEN json_extract(p, '$.{field}[*]') END AS list FROM contract))"""
 
 
+def listed(field, name):
+    """The values of one field in a list of objects, joined."""
+    values = f"json_extract_string(p, '$.{field}[*].{name}')"
+    return f"coalesce(array_to_string(list_filter(CASE WHEN n_{field} > 0 THEN {values} ELSE [] END, lambda x: x IS NOT NULL), ','), '')"
+
+
 def place(column, labels):
     whens = " ".join(f"WHEN {q(label)} THEN {i}" for i, label in enumerate(labels))
     return f"CAST(CASE {column} {whens} ELSE {len(labels)} END AS INTEGER)"
@@ -408,11 +426,19 @@ QUERIES = {
     "report_sections": Query(sections, with_ctes([reports_sql()], headings_sql())),
     "payload_documents": Query(
         documents,
-        on_payloads(
-            f"""SELECT '1.1' AS document_version, '2024-01-01T00:00:00' AS generated_at, area, response_id, schema_version, n_kpis,
-                  coalesce(array_to_string(list_filter(CASE WHEN n_kpis > 0 THEN json_extract_string(p, '$.kpis[*].id') ELSE [] END, lambda x: x IS NOT NULL), ','), '') AS kpi_ids,
-                  coalesce(array_to_string(list_filter(CASE WHEN n_insights > 0 THEN json_extract_string(p, '$.insights[*].id') ELSE [] END, lambda x: x IS NOT NULL), ','), '') AS insight_ids,
-                  texto_markdown AS body FROM chosen"""
+        with_ctes(
+            [*CHECK_CTES, *PAYLOAD_CTES[1:]],
+            f"""SELECT '1.1' AS document_version, '2024-01-01T00:00:00' AS generated_at, c.area, c.response_id, schema_version,
+                  resumo_executivo AS summary, n_kpis,
+                  {', '.join(f"{listed('kpis', name)} AS kpi_{name}" for name in pl.KPI_FIELDS if name != 'valor')},
+                  {', '.join(f"{listed('insights', name)} AS insight_{name}" for name in pl.INSIGHT_FIELDS)},
+                  {listed('insights', 'evidencias[*]')} AS evidence,
+                  coalesce(array_to_string(CASE WHEN n_pontos_de_atencao > 0 THEN json_extract_string(p, '$.pontos_de_atencao[*]') ELSE [] END, ','), '') AS points,
+                  check_years, check_numbers,
+                  coalesce(array_to_string(k.real, '|'), '') AS warnings, coalesce(array_to_string(list_sort(k.errors), '|'), '') AS errors,
+                  json_error AS erro_json, erro_conteudo, erro_llm, contract_ok AND coalesce(len(k.errors) = 0, false) AS valido_por_conteudo,
+                  texto_markdown AS body
+                FROM chosen c LEFT JOIN kept k USING (response_id)""",
         ),
     ),
     "markdown_or_notice": Query(
@@ -422,9 +448,11 @@ QUERIES = {
     "area_previews": Query(
         previews,
         on_payloads(
-            f"""SELECT response_id, area, {plain_text("CASE WHEN length(source) > 500 THEN left(source, 500) || '...' ELSE source END")} AS preview
-                FROM (SELECT *, coalesce(nullif(resumo_executivo, ''), nullif(texto_markdown, '')) AS source FROM payload)
-                WHERE area IN ('financeiro', 'operacional', 'estrategico') AND coalesce({STRIP.format('source')}, '') <> ''"""
+            f"""SELECT * FROM (
+                  SELECT response_id, area, {plain_text("CASE WHEN length(source) > 500 THEN left(source, 500) || '...' ELSE source END")} AS preview
+                  FROM (SELECT *, coalesce(nullif(resumo_executivo, ''), nullif(texto_markdown, '')) AS source FROM payload)
+                  WHERE area IN ('financeiro', 'operacional', 'estrategico') AND coalesce({STRIP.format('source')}, '') <> '')
+                WHERE {STRIP.format('preview')} <> ''"""
         ),
     ),
     "sanitized_documents": Query(

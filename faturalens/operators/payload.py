@@ -8,9 +8,13 @@ from faturalens.functions import fixed
 from faturalens.functions.jsontext import kind, parse_strict, truthy, with_json_object
 from faturalens.functions.once import let, with_once
 from faturalens.functions.text import is_blank
-from faturalens.operators.validation import model_error
+from faturalens.operators.validation import model_error, verdicts
 
 LIST_FIELDS = ["kpis", "insights", "pontos_de_atencao"]
+PAYLOAD_FIELDS = [
+    "schema_version", "resumo_executivo", "texto_markdown", *LIST_FIELDS, "checagem", "avisos_validador",
+    "alucinacoes_validador", "erro_json", "erro_conteudo", "erro_llm", "valido_por_conteudo",
+]
 KPI_FIELDS = ["id", "nome", "valor", "unidade", "periodo", "fonte"]
 INSIGHT_FIELDS = ["id", "tipo", "titulo", "descricao", "confianca", "nivel_risco"]
 
@@ -104,6 +108,28 @@ def select_attempt(contracts: DataFrame, keys: tuple[str, ...] = ("run_id", "are
     )
 
 
+def area_payloads(checked: DataFrame, clients: DataFrame, keys: tuple[str, ...] = ("run_id", "area")) -> DataFrame:
+    """The whole payload each run ends with, its flags included, with typed lists.
+
+    `checked` has the contract and the row-by-row text checks. Only the chosen attempts go
+    through the name join, with nothing but their ids and findings.
+    """
+    chosen = select_attempt(checked, keys)
+    found = verdicts(chosen.select("response_id", "errors", "phrases", "names"), clients)
+    found = found.select("response_id", F.col("warnings").alias("avisos_validador"), "valid")
+    none = F.array().cast("array<string>")
+    real = F.col("erro_llm").isNull()
+    return (
+        typed_payload(chosen.drop("valid"))
+        .join(found, "response_id", "left")
+        .withColumn("avisos_validador", F.coalesce("avisos_validador", none))
+        .withColumn("alucinacoes_validador", F.col("errors"))
+        .withColumn("erro_json", F.col("json_error"))
+        .withColumn("valido_por_conteudo", real & F.col("contract_ok") & F.coalesce("valid", F.lit(False)))
+        .select("response_id", *keys, *PAYLOAD_FIELDS)
+    )
+
+
 # --- typed views ------------------------------------------------------------------------------
 def _typed(item: Column, fields: list[str]) -> list[Column]:
     return [F.try_variant_get(item, f"$.{name}", "string").alias(name) for name in fields]
