@@ -112,7 +112,10 @@ def info(spark, d):
 
 # --- profile -----------------------------------------------------------------------------------
 PROFILE_SQL = """profile AS (
-  SELECT 'registros' AS section, format('{:04d}-{:02d}', year, month) AS key, CAST(count(*) AS DOUBLE) AS value
+  SELECT 'anos' AS section, format('{:04d}', year) AS key, CAST(year AS DOUBLE) AS value
+    FROM facts WHERE year IS NOT NULL GROUP BY year
+  UNION ALL SELECT 'meses', format('{:02d}', month), CAST(month AS DOUBLE) FROM facts WHERE month IS NOT NULL GROUP BY month
+  UNION ALL SELECT 'registros' AS section, format('{:04d}-{:02d}', year, month) AS key, CAST(count(*) AS DOUBLE) AS value
     FROM facts WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month
   UNION ALL SELECT 'ativos', format('{:04d}-{:02d}', year, month), CAST(count(DISTINCT collaborator) AS DOUBLE)
     FROM facts WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month
@@ -323,6 +326,10 @@ QUERIES = {
                   ELSE key || ' R$ ' || {MONEY_TEXT.format('value')} END AS line
                 FROM profile JOIN titles USING (section)
                 UNION ALL
+                SELECT 0, '- Anos: [' || string_agg(CAST(CAST(value AS INTEGER) AS VARCHAR), ', ' ORDER BY value) || ']' FROM profile WHERE section = 'anos'
+                UNION ALL
+                SELECT 0, '- Meses: [' || string_agg(CAST(CAST(value AS INTEGER) AS VARCHAR), ', ' ORDER BY value) || ']' FROM profile WHERE section = 'meses'
+                UNION ALL
                 SELECT part, heading || coalesce(' (' || n || ' identificados)', '') FROM titles
                 LEFT JOIN (SELECT key AS section, format('{{:,.0f}}', value) AS n FROM profile WHERE section = 'identificados') USING (section)""",
             PROFILE_SQL,

@@ -338,7 +338,7 @@ CITED_SQL = f"""SELECT response_id, CAST(len(figures) AS INTEGER) AS cited, CAST
            WHEN regexp_matches(n, {q(cited.COMMA_GROUPED)}) THEN replace(n, ',', '')
            WHEN regexp_matches(n, {q(cited.PLAIN)}) THEN n END AS DOUBLE)) AS figures
     FROM answers CROSS JOIN (SELECT list(DISTINCT value) AS numbers FROM profile
-      WHERE value IS NOT NULL)))"""
+      WHERE value IS NOT NULL AND section NOT IN ('anos', 'meses'))))"""
 
 QUERIES = {
     "year_mentions": Query(

@@ -73,7 +73,8 @@ def bin_of(value: Column) -> Column:
 
 def value_bins(profile: DataFrame) -> DataFrame:
     """The least and the largest profile value of each bin; bounded by the range of a double, not by the profile."""
-    values = profile.where("value >= 0").withColumn("bin", bin_of(F.col("value")))
+    # Years and months are no figures that a text could quote.
+    values = profile.where("value >= 0 AND section NOT IN ('anos', 'meses')").withColumn("bin", bin_of(F.col("value")))
     return values.groupBy("bin").agg(F.min("value").alias("least"), F.max("value").alias("largest"))
 
 

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faturalens.functions.text import fill_template, money
+from faturalens.functions.text import fill_template, listing, money
 from faturalens.plans.running import median
 
 TOP = 15
 MEASURES = ["records", "revenue", "amounts", "lowest", "highest", "people"]
 NAME_SECTIONS = ["clientes", "colaboradores"]
+PERIOD_SECTIONS = ["anos", "meses"]
 
 
 def _levels(facts: DataFrame) -> DataFrame:
@@ -44,6 +45,7 @@ def _levels(facts: DataFrame) -> DataFrame:
     others = F.array(
         level("month", "year", "month"),
         level("year", "year"),
+        level("calendar_month", month="month"),
         level("collaborator", key="collaborator"),
         level("all"),
     )
@@ -52,6 +54,7 @@ def _levels(facts: DataFrame) -> DataFrame:
     complete = (
         F.when(F.col("_at.level") == "month", F.col("_at.year").isNotNull() & F.col("_at.month").isNotNull())
         .when(F.col("_at.level") == "year", F.col("_at.year").isNotNull())
+        .when(F.col("_at.level") == "calendar_month", F.col("_at.month").isNotNull())
         .when(F.col("_at.level") == "all", F.lit(True))
         .otherwise(F.col("_at.name").isNotNull())
     )
@@ -105,6 +108,8 @@ def data_profile(facts: DataFrame, amounts: DataFrame | None = None, exact_media
     mean = F.col("revenue").cast("double") / F.nullif(F.col("amounts"), F.lit(0))
     plain = _entries(
         levels,
+        _entry("anos", year_key, F.col("year"), at == "year"),
+        _entry("meses", F.format_string("%02d", "month"), F.col("month"), at == "calendar_month"),
         _entry("registros", month_key, F.col("records"), at == "month"),
         _entry("ativos", month_key, F.col("people"), at == "month"),
         _entry("faturamento_mes", month_key, F.col("revenue"), at == "month"),
@@ -161,7 +166,7 @@ def fact_numbers(profile: DataFrame) -> DataFrame:
     What is left is bounded by the calendar and by the length of the top lists.
     """
     return (
-        profile.where(~F.col("section").isin(NAME_SECTIONS))
+        profile.where(~F.col("section").isin(NAME_SECTIONS + PERIOD_SECTIONS))
         .where("value is not null")
         .agg(F.sort_array(F.collect_set("value")).alias("numbers"))
     )
@@ -169,6 +174,7 @@ def fact_numbers(profile: DataFrame) -> DataFrame:
 
 # --- fixed values: headings of the text form, in order -------------------------------
 HEADINGS = [
+    ("periodo", "### Período"),
     ("clientes", "### Clientes"),
     ("colaboradores", "### Colaboradores"),
     ("registros", "### Registros por Ano e Mês (contagem)"),
@@ -203,6 +209,12 @@ def profile_lines(profile: DataFrame) -> DataFrame:
     body = profile.join(F.broadcast(titles), "section").select(
         "part", rank.alias("rank"), F.col("key").alias("place"), F.concat(F.lit("- "), shown).alias("line")
     )
+    # Years and months are bounded by the calendar: one line holds each list.
+    listed = F.transform(F.sort_array(F.collect_list("value")), lambda v: v.cast("int"))
+    period = profile.where(section.isin(PERIOD_SECTIONS)).groupBy("section").agg(
+        F.concat(F.lit("- "), F.initcap(F.first("section")), F.lit(": "), listing(listed)).alias("line")
+    )
+    period = period.select(F.lit(0).alias("part"), F.lit(0.0).alias("rank"), F.col("section").alias("place"), "line")
     counts = profile.where("section = 'identificados'").select(
         F.col("key").alias("section"), F.format_number("value", 0).alias("n")
     )
@@ -212,7 +224,7 @@ def profile_lines(profile: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("place"),
         F.concat("heading", F.coalesce(F.concat(F.lit(" ("), "n", F.lit(" identificados)")), F.lit(""))).alias("line"),
     )
-    return heads.unionByName(body)
+    return heads.unionByName(period).unionByName(body)
 
 
 def prompt_by_key(template: Column, marker: str, facts: DataFrame, key: str) -> DataFrame:

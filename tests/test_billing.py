@@ -270,8 +270,9 @@ def test_profile_parts_share_their_shuffles(facts, spark, tmp_path):
 
 def test_profile_lines_name_every_client_once(facts):
     lines = [r.line for r in prof.profile_lines(prof.data_profile(facts)).orderBy("part", "rank", "place").collect()]
-    assert lines[0] == "### Clientes (4 identificados)"
-    assert lines[1:5] == ["- Alfa", "- Beta", "- Gama", "- Nula"]
+    assert lines[:3] == ["### Período", "- Anos: [2025, 2026]", "- Meses: [1, 2, 4]"]
+    assert lines[3] == "### Clientes (4 identificados)"
+    assert lines[4:8] == ["- Alfa", "- Beta", "- Gama", "- Nula"]
     assert "- soma R$ 490.50" in lines
 
 
