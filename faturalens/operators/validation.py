@@ -182,6 +182,9 @@ def verdicts(checked: DataFrame, clients: DataFrame) -> DataFrame:
     rows = checked.select(
         "response_id", "phrases", *carried, F.posexplode_outer("names").alias("position", "name")
     )
+    # A text with many names carries its other columns at the first of them only.
+    leads = F.coalesce("position", F.lit(0)) == 0
+    rows = rows.withColumns({c: F.when(leads, F.col(c)) for c in ("phrases", *carried)})
     rows = rows.withColumn(
         "_key", F.coalesce(F.lower("name"), F.concat(F.lit("\u0001"), F.col("response_id").cast("string")))
     )
@@ -192,8 +195,8 @@ def verdicts(checked: DataFrame, clients: DataFrame) -> DataFrame:
     # A group is one response; its rows are the names in one text.
     grouped = looked_up.groupBy("response_id").agg(
         F.sort_array(F.collect_list(missing)).alias("missing"),
-        F.first("phrases").alias("phrases"),
-        *[F.first(c).alias(c) for c in carried],
+        F.first("phrases", ignorenulls=True).alias("phrases"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carried],
     )
     entity = F.transform("missing", lambda m: entity_warning(m["name"]))
     return (
