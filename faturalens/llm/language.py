@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from faturalens.llm import common
 
 UNKNOWN = "und"
-PER_LANGUAGE = 800
+PER_LANGUAGE = 300
 BUCKETS = 4096
 ROUNDS = 150
 PENALTY = 1e-4
@@ -95,7 +95,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by accelerated gradient steps; classes weigh alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     design = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    step = 1.0 / (2 * float((weight[:, None] * design**2).sum()) + PENALTY)
+    step = 1.0 / (2 * float(np.einsum("ij,ij,i->", design, design, weight)) + PENALTY)
     w = np.zeros(design.shape[1], dtype=np.float32)
     ahead, t = w.copy(), 1.0
     for _ in range(ROUNDS):
@@ -148,11 +148,14 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     rows = common.map_batches(sample, run, "lang string, row binary").toArrow()
     labels = rows.column("lang").to_pylist()
-    body = b"".join(rows.column("row").to_pylist())
-    x = np.frombuffer(body, dtype=np.float16).astype(np.float32).reshape(len(labels), BUCKETS) / 64
     # The order in which rows arrive must not matter for the last digits of the sums.
-    order = sorted(range(len(labels)), key=lambda i: (labels[i], x[i].tobytes()))
-    return fit_rows(x[order], [labels[i] for i in order])
+    pairs = sorted(zip(labels, rows.column("row").to_pylist(), strict=True))
+    del rows
+    x = np.empty((len(pairs), BUCKETS), dtype=np.float32)
+    for place, (_, row) in enumerate(pairs):
+        x[place] = np.frombuffer(row, dtype=np.float16)
+    x /= 64
+    return fit_rows(x, [label for label, _ in pairs])
 
 
 def predict_texts(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
