@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from faturalens.llm import common
 
 TOKENIZER = "word_bpe_49k.json"
-KEPT_RUNS = 500_000
+KEPT_RUNS = 250_000
 KEPT_PAIRS = 1_000_000
 DECODE_IDS = 200_000
 # Up to U+024F every Unicode version agrees on letters, numbers, case and composed forms.

@@ -37,7 +37,7 @@ MOST_LABELLED = 12_000
 LEAST_Z = 4.0
 LEAST_SCORE = 1.0
 BEGINNINGS = (4, 5, 6, 7)
-KEPT_TOKENS = 300_000
+KEPT_TOKENS = 150_000
 PRIOR_SHARE = 0.05
 PASSAGE_RATE = 0.05
 LEVEL = 0.05
