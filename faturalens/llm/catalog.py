@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faturalens.llm import bpe_encode, common, jaccard_join, language, line_quality, mixing, site_quality, token_count, topk, toxicity, url_templates
+from faturalens.llm import bpe_encode, common, hard_negatives, jaccard_join, language, line_quality, mixing, site_quality, token_count, topk, toxicity, url_templates
 
 
 @dataclass(frozen=True)
@@ -140,6 +140,33 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(common.table(spark, folder, "embeddings"))
+
+
+OP11_SQL = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_sum([p[1] * p[2] for p in list_zip(a.v, b.v)])::BIGINT AS score
+  FROM q a, q b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM positives p JOIN scored s USING (anchor_id)
+  WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -157,5 +184,6 @@ QUERIES: dict[str, Query] = {
     "op8_site_quality": Query(op8),
     "op9_toxicity": Query(op9),
     "op10_top_k": Query(op10, OP10_SQL),
+    "op11_hard_negatives": Query(op11, OP11_SQL),
     "pipeline": Query(pipeline),
 }

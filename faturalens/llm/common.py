@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SLICE_BYTES = 2_000_000
 BATCH_ROWS = 2_000
+BATCH_BYTES = 32 << 20
 HELD_OUT_MODULUS = 5
 
 
@@ -26,6 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package, and give a session without a checkpoint folder one of its own."""
     # A batch of whole texts is held several times over in a worker: arrays, bytes, results.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     known = context.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):

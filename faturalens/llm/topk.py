@@ -1,108 +1,61 @@
 """Exact top-k search: tiled integer matrix products, partial selection per tile, tree merging.
 
-Queries are packed into blocks and all rows into shards, each a matrix in one row. A tile is one
-block times one shard: a task multiplies the two, keeps the k best of each query by partial
-selection, and emits those. Per-query lists are merged first by groups of tiles, then at the end.
-The queries are stated (every 100th id), so their blocks meet every shard; no pair of rows is
-ever a row of a join. A shard is replicated once per block of `block_rows` queries.
-
-Components become floor(1024 * x) with x as a double; products are summed as integers. Rows whose
-id or vector is null, or whose vector holds a null or non-finite component or one beyond 64 bits,
-take no part. A vector is compared with those of its own length only. Repeated rows are
-candidates each, but never of a query with their own id; a query's id is answered once for each
-distinct vector that carries it. Ties go to the smaller id. An empty table gives an empty one.
+Queries are packed into blocks and all rows into shards. A tile is one block times one shard: a
+task multiplies the two, keeps the k best of each query by partial selection, and merges them into
+the list that it keeps for the block. Lists of a few groups of shards are merged next, and what is
+left of them last. The queries are stated (every 100th id), so their blocks meet every shard, dealt
+in groups over the cluster; `tiles` says how. No pair of rows is ever a row of a join.
+
+Components become floor(1024 * x) with x as a double; products are summed as integers, exactly at
+any size. A score of the answer beyond 64 bits raises an error. Rows whose id or vector is null, or
+whose vector holds a null or non-finite component, take no part. A vector is compared with those of
+its own length only. Repeated rows are candidates each, but never of a query with their own id; a
+query's id is answered once for each distinct vector that carries it. Ties go to the smaller id.
+Very long vectors make small packs. An empty table gives an empty one. Columns other than vec_id
+and embedding are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faturalens.llm import common
+from faturalens.llm import tiles
 
 K = 10
 EVERY = 100
 BLOCK_ROWS = 1024
 SHARD_ROWS = 4096
 SCALE = 1024
-# A sum of products below this is exact in double arithmetic.
-EXACT = float(1 << 53)
-
-
-def quantized(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and the integer vector of every row that takes part."""
-    value = F.col("embedding").cast("array<double>")
-    # An infinite or not-a-number component fails the bound as well.
-    usable = F.forall(value, lambda x: x.isNotNull() & (F.abs(x) < F.lit(2.0**52 / scale)))
-    integers = F.transform(value, lambda x: F.floor(x * scale).cast("long"))
-    kept = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
-    return kept.select("vec_id", integers.alias("v"), F.size("embedding").alias("dim"))
+LIST_SCHEMA = "block long, place int, query_id long, vec_id long, score long, part int"
 
 
-def packed(rows: DataFrame, per_pack: int, total: int) -> DataFrame:
-    """(dim, pack, ids, matrix): about `per_pack` rows of one length in a pack, dealt by hash."""
-    packs = max(1, -(-total // per_pack))
+def lists(tiled: DataFrame, k: int, scale: int) -> DataFrame:
+    """Each task's k best of each query it met, with the group of shards they came from."""
 
-    dealt = rows.withColumn("pack", F.pmod(F.xxhash64("vec_id", "v"), F.lit(packs)))
+    def open_block(tile: dict) -> tuple:
+        own = np.frombuffer(tile["q_ids"], "<i8")
+        left = tiles.integers(tiles.matrix(tile["q_body"], len(own), tile["dim"]), scale)
+        return tile["q_block"], tile["group"], own, left, tiles.Best(len(own), k)
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by pack; one pack at a time is held.
-        key, ids, parts = None, [], []
-        for batch in frames:
-            keys = list(zip(common.column(batch, "dim").to_pylist(), common.column(batch, "pack").to_pylist(), strict=True))
-            vec = common.column(batch, "vec_id").to_numpy(zero_copy_only=False)
-            vectors = common.column(batch, "v")
-            flat, offsets = vectors.flatten().to_numpy(zero_copy_only=False), np.diff(vectors.offsets.to_numpy())
-            starts = np.concatenate([[0], np.cumsum(offsets)])
-            borders = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for low, high in zip(borders, borders[1:], strict=False):
-                if keys[low] != key and ids:
-                    yield one(key, ids, parts)
-                    ids, parts = [], []
-                key = keys[low]
-                ids.append(vec[low:high])
-                parts.append(flat[starts[low] : starts[high]])
-        if ids:
-            yield one(key, ids, parts)
+    def take(state: tuple, tile: dict) -> None:
+        _, _, own, left, best = state
+        ids = np.frombuffer(tile["ids"], "<i8")
+        right = tiles.integers(tiles.matrix(tile["body"], len(ids), tile["dim"]), scale)
+        best.add(tiles.product(left, right), ids, own[:, None] != ids[None, :])
 
-    def one(key: tuple, ids: list, parts: list) -> pa.RecordBatch:
-        own = np.concatenate(ids).astype("<i8").tobytes()
-        body = np.concatenate(parts).astype("<i8").tobytes()
-        columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([own], pa.binary()), pa.array([body], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["dim", "pack", "ids", "body"])
+    def close(state: tuple) -> pa.RecordBatch:
+        block, group, own, _, best = state
+        place, slot = np.nonzero(best.filled)
+        columns = [
+            np.full(len(place), block), place.astype(np.int32), own[place], best.ids[place, slot], best.scores[place, slot],
+            np.full(len(place), group, dtype=np.int32),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "place", "query_id", "vec_id", "score", "part"])
 
-    grouped = dealt.repartition("dim", "pack").sortWithinPartitions("dim", "pack")
-    return grouped.select("vec_id", "v", "dim", "pack").mapInArrow(run, "dim int, pack long, ids binary, body binary")
-
-
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple:
-    """(query position, id, score) of the k best of each query in one tile."""
-    high = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
-    if high < EXACT:
-        scores = (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    else:
-        scores = queries @ rows.T
-    lowest = np.iinfo(np.int64).min
-    scores[query_ids[:, None] == ids[None, :]] = lowest
-    order = np.argsort(ids, kind="stable")
-    scores, ids = scores[:, order], ids[order]
-    if len(ids) > k:
-        # Everything above the k-th score, and then the smallest ids at that score.
-        cut = len(ids) - k
-        edge = np.partition(scores, cut, axis=1)[:, cut : cut + 1]
-        above = scores > edge
-        level = scores == edge
-        room = k - above.sum(axis=1, keepdims=True)
-        chosen = above | (level & (np.cumsum(level, axis=1) <= room))
-    else:
-        chosen = np.ones(scores.shape, dtype=bool)
-    chosen &= query_ids[:, None] != ids[None, :]
-    place, at = np.nonzero(chosen)
-    return place, ids[at], scores[place, at]
+    return tiles.fold(tiled, open_block, take, close, LIST_SCHEMA)
 
 
 def top_k(
@@ -111,41 +64,19 @@ def top_k(
     k: int = K,
     block_rows: int = BLOCK_ROWS,
     shard_rows: int = SHARD_ROWS,
+    scale: int = SCALE,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k best rows by integer inner product."""
-    rows = quantized(embeddings)
+    rows = tiles.usable(embeddings)
     is_query = F.col("vec_id") % EVERY == 0 if is_query is None else is_query
-    queries = rows.where(is_query).distinct()
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    blocks = packed(queries, block_rows, counts["q"])
-    n_blocks = max(1, -(-counts["q"] // block_rows))
-    shards = packed(rows, shard_rows, counts["n"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tiles = shards.join(
-        blocks.select(F.col("dim").alias("q_dim"), F.col("pack").alias("block_at"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body")),
-        (F.col("dim") == F.col("q_dim")) & (F.col("block") == F.col("block_at")),
-    )
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            for row in batch.to_pylist():
-                own, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                left = np.frombuffer(row["q_body"], "<i8").reshape(len(own), -1)
-                right = np.frombuffer(row["body"], "<i8").reshape(len(ids), -1)
-                place, found, scores = best(own, left, ids, right, k)
-                # A query id may carry several vectors: its place in the block tells them apart.
-                which = place + (row["block"] << 32)
-                columns = [pa.array(own[place]), pa.array(which), pa.array(found), pa.array(scores)]
-                full = pa.array(np.full(len(place), row["pack"], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*columns, full], ["query_id", "which", "vec_id", "score", "pack"])
-
-    lists = tiles.select("block", "pack", "ids", "body", "q_ids", "q_body").mapInArrow(
-        run, "query_id long, which long, vec_id long, score long, pack long"
-    )
+    blocks = tiles.blocks(rows.where(is_query).distinct(), block_rows)
+    groups = tiles.groups_of(embeddings)
+    found = lists(tiles.joined(blocks, tiles.shards(rows, shard_rows), groups), k, scale)
     best_first = [F.col("score").desc(), F.col("vec_id")]
-    width = max(2, int(max(1, counts["n"] / shard_rows) ** 0.5))
-    key = ["query_id", "which"]
-    # The tree: lists of a few shards each are merged first, what is left of them last.
-    branch = Window.partitionBy(*key, F.col("pack") % width).orderBy(*best_first)
-    half = lists.withColumn("rank", F.row_number().over(branch)).where(F.col("rank") <= k).drop("rank")
+    # A query id may carry several vectors: its place in its block tells them apart.
+    key = ["block", "place"]
+    # The tree: lists of a few groups each are merged first, what is left of them last.
+    branch = Window.partitionBy(*key, F.col("part") % max(2, int(groups**0.5))).orderBy(*best_first)
+    half = found.withColumn("rank", F.row_number().over(branch)).where(F.col("rank") <= k).drop("rank")
     ranked = half.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*best_first)))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", tiles.checked("score").alias("score"))

@@ -1,10 +1,13 @@
 """Exact search against sorting all products."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from faturalens.llm import common, topk
+from faturalens.llm import common, tiles, topk
 
 
 def plain(rows, k):
@@ -28,10 +31,50 @@ def test_search_equals_sorting(spark):
         assert got == plain(rows, 10)
 
 
-def test_repeats_large_values_and_nothing(spark):
-    rows = [(100, [3e9, 1.0])] * 2 + [(1, [3e9, 0.0])] * 2 + [(2, [-3e9, 5.0])]
+def test_repeated_rows_and_nothing(spark):
+    rows = [(100, [3e5, 1.0])] * 2 + [(1, [3e5, 0.0])] * 2 + [(2, [-3e5, 5.0])]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in topk.top_k(data, k=3).orderBy("rank").collect()]
-    big = (3 * 10**9 * 1024) ** 2
-    assert [(r[2], r[1]) for r in got] == [(1, 1), (1, 2), (2, 3)] or big >= 2**63
+    got = [(r["vec_id"], r["rank"], r["score"]) for r in topk.top_k(data, k=3).orderBy("rank").collect()]
+    big = (3 * 10**5 * 1024) ** 2
+    assert got == [(1, 1, big), (1, 2, big), (2, 3, 5 * 1024**2 - big)]
     assert topk.top_k(data.limit(0)).collect() == []
+
+
+def test_components_of_any_size(spark):
+    """Finite rows stay; sums beyond a long are right where they are not returned, and raise where they are."""
+    rows = [(100, [2.0**43, 0.0, 1.0]), (1, [5e12, 0.0, 0.0]), (2, [-5e12, 0.0, 0.0]), (3, [0.0, 1e300, 0.5]), (4, [1e-9, 0.0, 0.0]), (5, [0.0, 0.0, 3.0])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(data, k=2).collect()
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(data.where("vec_id <> 1"), k=3).orderBy("rank").collect()]
+    assert got == [(5, 3 * 1024**2), (3, 1024**2 // 2), (4, 0)]
+
+
+def test_tiles_of_one_block_lie_in_many_partitions(spark):
+    common.prepare(spark)
+    source = np.random.default_rng(2)
+    data = spark.createDataFrame([(i, source.random(4).tolist()) for i in range(2000)], "vec_id long, embedding array<float>")
+    rows = tiles.usable(data)
+    blocks = tiles.blocks(rows.where("vec_id % 100 = 0"), 1024)
+    assert blocks.count() == 1
+    joined = tiles.joined(blocks, tiles.shards(rows, 50), 8)
+    assert joined.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    assert joined.count() == tiles.shards(rows, 50).count()
+
+
+def test_best_lists_equal_sorting():
+    source = np.random.default_rng(3)
+    for kind in (np.int64, object):
+        scores, ids = source.integers(-3, 4, (20, 60)).astype(kind), source.permutation(60)
+        allowed = source.random((20, 60)) < 0.3
+        best = tiles.Best(20, 4)
+        for low in range(0, 60, 7):
+            best.add(scores[:, low : low + 7], ids[low : low + 7], allowed[:, low : low + 7])
+        for row in range(20):
+            want = sorted((-scores[row, j], ids[j]) for j in range(60) if allowed[row, j])[:4]
+            assert [(-s, i) for s, i, ok in zip(best.scores[row], best.ids[row], best.filled[row], strict=True) if ok] == want
+
+
+def test_integers_round_down_at_any_size():
+    values = np.array([[-0.3, 2.0**60 + 512, 1e308, -1e-300, 0.999]])
+    assert tiles.integers(values, 1024).ravel().tolist() == [math.floor(Fraction(x) * 1024) for x in values.ravel().tolist()]
