@@ -1,50 +1,47 @@
-"""Exact running totals over an ordered key, without sorting everything in one task.
+"""Exact places and running totals over an ordered key, without sorting everything in one task.
 
-Rows are first grouped by key value, which also folds hot values. A fixed-size sample of
-the key values, chosen by smallest hash and thus the same on every evaluation, gives cut
-points; the cut points give balanced buckets. Each bucket is summed by one task, and the
-few bucket totals are accumulated and added back.
+Rows are dealt to partitions by ranges of the order, as many as the session's shuffles have, and
+sorted there. That table is written, so that all later steps see the same ranges. Places and sums
+inside a partition need no other partition's rows; the few totals per partition are accumulated and
+added. So tasks grow with the cluster and the data, and no range is a fixed share of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faturalens.functions.once import let
+from faturalens.plans.shared import written
 
-SAMPLE = 2048
-BUCKETS = 256
-BLOCK = 16
+# Where monotonically_increasing_id keeps the partition.
+PART_BITS = 33
 
 
-def cut_points(df: DataFrame, key: str, measures: list[str]) -> DataFrame:
-    """One row: sorted cut points, and every BLOCK-th of them to find the right block.
+def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df sorted as a whole over range partitions and written, with `_at` that rises in that order and `_part`."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", PART_BITS))
 
-    A cast to double keeps the order, so that is what is compared. The measures are part of
-    the sample's order only to stay in use: the shuffle below is then the one of the totals.
-    """
-    sample = df.select(key, *measures).orderBy(F.xxhash64(key), key, *measures).limit(SAMPLE)
-    values = sample.agg(F.sort_array(F.collect_list(F.col(key).cast("double"))).alias("_values"))
-    step = SAMPLE // BUCKETS
-    return values.select(
-        F.struct(
-            F.filter("_values", lambda value, i: i % step == 0).alias("cuts"),
-            F.filter("_values", lambda value, i: i % (step * BLOCK) == 0).alias("blocks"),
-        ).alias("_cuts")
-    )
-
-
-def bucket_of(value: Column, cuts: Column) -> Column:
-    """Number of cut points below the value: first the block, then the place inside it."""
-
-    def below(points: Column, v: Column) -> Column:
-        return F.size(F.filter(points, lambda cut: cut < v))
 
-    def place(v: Column) -> Column:
-        start = F.greatest((below(cuts["blocks"], v) - 1) * BLOCK, F.lit(0))
-        return let(start, lambda s: s + below(F.slice(cuts["cuts"], s + 1, F.lit(BLOCK)), v))
+def numbered(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
+    """df with `_place`, from 0, of each row inside its group in the given order, and `_count`, the group's rows.
 
-    return let(value, place)
+    Group columns must not be null. A group of any size may span partitions. Equal rows take the
+    places of equal rows, whichever of them is first.
+    """
+    table = ranged(df, *group, *order)
+    pieces = table.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row for each partition that a group touches.
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(
+        *group,
+        "_part",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(whole).alias("_count"),
+    )
+    # Written, so that the join knows its size.
+    placed = table.join(written(starts), [*group, "_part"])
+    return placed.withColumn("_place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def running_totals(df: DataFrame, key: str, measures: list[str], descending: bool = False) -> DataFrame:
@@ -52,27 +49,16 @@ def running_totals(df: DataFrame, key: str, measures: list[str], descending: boo
 
     `key` must be unique in `df` and not null. Measures must be exact (integer or decimal).
     """
-    # One shuffle by bucket serves the bucket totals and the sums inside the buckets.
-    bucketed = (
-        df.select(key, *measures)
-        .withColumn("_cuts", cut_points(df, key, measures).scalar())
-        .withColumn("_bucket", bucket_of(F.col(key).cast("double"), F.col("_cuts")))
-        .drop("_cuts")
-        .repartition("_bucket")
-    )
     direction = F.desc if descending else F.asc
-    # At most BUCKETS + 1 rows from here to the join; any key of a bucket orders the buckets.
-    totals = bucketed.groupBy("_bucket").agg(
-        F.max(key).alias("_last"), *[F.sum(m).alias(f"_t_{m}") for m in measures]
-    )
-    before = Window.orderBy(direction("_last")).rowsBetween(Window.unboundedPreceding, -1)
+    table = ranged(df.select(key, *measures), direction(key))
+    totals = table.groupBy("_part").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    # One row per partition from here to the join.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures]
+        "_part", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures]
     )
-
-    inside = Window.partitionBy("_bucket").orderBy(direction(key)).rowsBetween(Window.unboundedPreceding, 0)
-    # A left join adds no null filter below the shared shuffle; every bucket has its offset.
-    joined = bucketed.join(F.broadcast(offsets), "_bucket", "left")
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = table.join(written(offsets), "_part")
     return joined.select(
         key,
         *measures,
