@@ -7,8 +7,6 @@ such characters. Texts reach Python as bytes, in slices of bounded size; a null
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faturalens.plans.shared import shared_folder
+from faturalens.plans.shared import written as written
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SLICE_BYTES = 2_000_000
 BATCH_ROWS = 2_000
@@ -24,7 +25,7 @@ HELD_OUT_MODULUS = 5
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package, and give a session without a checkpoint folder one of its own."""
+    """Let Python workers find this package, keep their batches small, and see that there is a shared folder."""
     # A batch of whole texts is held several times over in a worker: arrays, bytes, results.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -32,19 +33,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = context.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(spark)
     return spark
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table of its own in the shared checkpoint folder: lineage ends there, and sizes are known."""
-    spark = df.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

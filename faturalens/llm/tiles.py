@@ -7,9 +7,9 @@ bytes a component) until a task multiplies them. Products are exact: in doubles
 to the answer and doesn't fit a long raises an error.
 
 All rows are packed into shards where they are read, without a shuffle; stated queries are packed
-into blocks. A tile is one block times one shard. Shards are dealt into groups by hash and move
-once; the blocks, which are the small side, are copied to each group. So the tiles of one block
-lie in many tasks. No pair of rows is ever a row of the join.
+into blocks. A tile is one block times one shard. Shards are dealt to groups in turn and move
+once; the blocks, which are the small side, are copied to each group. A group is a task, so the
+tiles of one block lie in many tasks. No pair of rows is ever a row of the join.
 """
 
 from __future__ import annotations
@@ -104,13 +104,15 @@ def groups_of(df: DataFrame) -> int:
 
 
 def joined(block_rows: DataFrame, shard_rows: DataFrame, groups: int) -> DataFrame:
-    """Every block beside every shard of its length; columns of blocks begin with q_."""
-    names = [F.col(name).alias(f"q_{name}") for name in block_rows.columns if name != "dim"]
-    copies = block_rows.select("dim", *names, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    dealt = shard_rows.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    key = ["dim", "group"]
-    # A stated number of partitions: few bytes are much work here, so they must not be put together.
-    return copies.repartition(groups, *key).join(dealt.repartition(groups, *key).hint("merge"), key)
+    """Every block beside every shard, those of other lengths included; columns of blocks begin with q_."""
+    names = [F.col(name).alias(f"q_{name}") for name in block_rows.columns]
+    copies = block_rows.select(*names, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    # Each partition deals its shards one by one, beginning at a group of its own.
+    turn = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id()
+    dealt = shard_rows.withColumn("group", F.pmod(turn, F.lit(groups)).cast("int"))
+    # A group is a partition: few bytes are much work here, so they must not be put together.
+    group = F.col("group")
+    return copies.repartitionById(groups, group).join(dealt.repartitionById(groups, group).hint("merge"), "group")
 
 
 def matrix(body: bytes, count: int, dim: int) -> np.ndarray:
@@ -213,6 +215,8 @@ def fold(
             for index in range(batch.num_rows):
                 # One tile at a time as Python bytes, whatever the batch holds.
                 tile = batch.slice(index, 1).to_pylist()[0]
+                if tile["dim"] != tile["q_dim"]:
+                    continue
                 block = tile["q_block"]
                 if block not in states:
                     if len(states) >= OPEN_BLOCKS:
