@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faturalens.functions.jsontext import kind, parse_strict
 from faturalens.functions.once import with_once
+from faturalens.sources.json_split import records
 
 RECORD = (
     "timestamp string, assistente string, quantidade_avisos int, quantidade_erros int, "
@@ -32,33 +33,23 @@ def records_in(documents: DataFrame, text: str = "value") -> DataFrame:
 
 
 def load_log(spark: SparkSession, path: str) -> DataFrame:
-    """The records of every log file under the path; each file is one document of any size.
+    """The records of every log file under the path; each file is one document of any size, read by many tasks.
 
-    The JSON reader takes a list apart record by record and reads the `items` of an object. A
-    file's first character tells which of the two it is: the fields of an object itself are no
-    record. A document that isn't JSON holds none.
+    A document is a list of records or an object with the list under `items`; anything else,
+    unreadable JSON included, holds no records. A field of another type than the log's is null.
     """
-    schema = f"{RECORD}, items array<struct<{RECORD.replace(' string', ': string').replace(' int', ': int').replace(' array', ': array')}>>"
-    names = [part.split()[0] for part in RECORD.split(", ")]
-    reader = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
-    rows = reader.option("multiLine", "true").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
-    lines = spark.read.text(path).where(~F.rlike("value", F.lit("^\\s*$")) & (F.col("_metadata.file_block_start") == 0))
-    lines = lines.select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.left(F.ltrim("value"), F.lit(1)).alias("_mark"),
-        F.monotonically_increasing_id().alias("_place"),
-    )
-    marks = lines.groupBy("_file").agg(F.min_by("_mark", "_place").alias("_mark"))
-    marked = rows.join(marks, "_file")
-    own = F.when((F.col("_mark") == "[") & (F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()), F.array(F.struct(*names)))
-    listed = F.when(F.col("_mark") == "{", F.filter("items", lambda item: item.isNotNull()))
-    return marked.select(F.inline(F.coalesce(own, listed)))
+    parsed = F.from_json("text", RECORD)
+    return records(spark, path).select(F.inline(F.array(parsed)))
 
 
 def append_log(records: DataFrame, path: str) -> None:
-    """Append records in one folder per day; earlier records are not rewritten."""
+    """Append records in one folder per day; earlier records are not rewritten.
+
+    Days are gathered before they are written, so that a day gets few files; a very full one is split.
+    """
     (
         records.withColumn("log_date", F.to_date("timestamp"))
+        .hint("rebalance", "log_date")
         .write.mode("append")
         .partitionBy("log_date")
         .parquet(path)

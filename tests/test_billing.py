@@ -2,6 +2,7 @@ import random
 import statistics
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from faturalens.operators import aggregates as agg, insight, selection as sel, t
 from faturalens.plans import profile as prof
 from faturalens.plans.running import median, numbered, ranged, running_totals
 from faturalens.sources import billing
+from faturalens.sources.headers import first_line, header_lines, schema_groups
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -62,6 +64,97 @@ def test_file_report_tells_paths_and_empty_files_apart(spark, tmp_path):
     assert got == {"fatura março 1+2.csv": (1, "read"), "head.csv": (0, "empty")}
 
 
+def test_bad_cells_and_rows_cost_themselves_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Ano,Mês,NmCliente,VlrFaturamento,Obs\n2025,1,Alfa,10.5,x\nn/a,2,Beta,abc,y\n2025.0, ,Gama,1e2,\n")
+    (tmp_path / "b.csv").write_text("Ano,Mês,NmCliente,VlrFaturamento,Obs\n2026,1\n2026,2,Beta,5,y,surplus\n2026,3.5,Beta,7,y\n")
+    (tmp_path / "c.csv").write_text("Ano,Mês\n1,2,3\n")
+    (tmp_path / "d.csv").write_text("Ano\n")
+    folder = str(tmp_path)
+    scan = billing.scan_billing(spark, folder, "csv")
+    got = billing.good_rows(scan).orderBy("client", "year", "month")
+    assert [(r.year, r.month, r.client, r.amount, r.obs) for r in got.collect()] == [
+        (2025, 1, "Alfa", Decimal("10.5"), "x"), (None, 2, "Beta", None, "y"), (2026, None, "Beta", Decimal("7"), "y"), (2025, None, "Gama", Decimal("100"), None),
+    ]
+    found = billing.reject_rows(scan).collect()
+    cells = sorted((r.file.split("/")[-1], r.column, r.value, r.reason) for r in found if r.column)
+    assert cells == [("a.csv", "amount", "abc", "not of type decimal(18,4)"), ("a.csv", "year", "n/a", "not of type int"), ("b.csv", "month", "3.5", "not of type int")]
+    lines = sorted((r.file.split("/")[-1], r.row) for r in found if r.column is None)
+    assert lines == [("b.csv", "2026,1"), ("b.csv", "2026,2,Beta,5,y,surplus"), ("c.csv", "1,2,3")]
+    report = {r.file_name: tuple(r)[1:] for r in billing.billing_report(spark, scan, folder, "csv").collect()}
+    assert report == {"a.csv": (3, 0, 2, "read"), "b.csv": (1, 2, 1, "read"), "c.csv": (0, 1, 0, "rejected"), "d.csv": (0, 0, 0, "empty")}
+    assert {r.file_name: (r.rows_read, r.status) for r in billing.file_report(spark, folder, "csv").collect()} == {
+        "a.csv": (3, "read"), "b.csv": (1, "read"), "c.csv": (0, "empty"), "d.csv": (0, "empty"),
+    }
+
+
+def test_bad_values_in_typed_files(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.sql("SELECT 2025.5D AS ano, double('NaN') AS VlrFaturamento, 1 AS `mês` UNION ALL SELECT 2026D, 1e300D, 2").coalesce(1).write.parquet(folder)
+    scan = billing.scan_billing(spark, folder)
+    assert sorted(rows(billing.good_rows(scan).select("year", "month", "amount")), key=str) == [(2026, 2, None), (None, 1, None)]
+    assert sorted((r.column, r.value) for r in billing.reject_rows(scan).collect()) == [("amount", "1.0E300"), ("year", "2025.5")]
+    assert billing.read_billing(spark, folder).count() == 2
+    lines = tmp_path / "j"
+    lines.mkdir()
+    (lines / "a.json").write_text('{"ano": 2025, "NmCliente": "Alfa"}\n{"ano": broken\n{"ano": "x", "NmCliente": "Beta"}\n')
+    scan = billing.scan_billing(spark, str(lines), "json")
+    assert sorted(rows(billing.good_rows(scan).select("year", "client")), key=str) == [(2025, "Alfa"), (None, "Beta")]
+    assert sorted((r.column or "", r.value or "", r.row) for r in billing.reject_rows(scan).collect())[0] == ("", "", '{"ano": broken')
+
+
+def test_one_column_twice_in_a_file_is_refused_but_not_across_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ano,mês\n2024,1\n")
+    (tmp_path / "b.csv").write_text(" Ano ,MÊS\n2025,2\n")
+    assert sorted(rows(billing.read_billing(spark, str(tmp_path), "csv").select("year", "month"))) == [(2024, 1), (2025, 2)]
+    (tmp_path / "c.csv").write_text("ano, Ano ,mês\n2024,2025,1\n")
+    with pytest.raises(ValueError, match="'ano', ' Ano '"):
+        billing.read_billing(spark, str(tmp_path), "csv")
+    folder = str(tmp_path / "p")
+    spark.sql("SELECT 2024 AS ano").coalesce(1).write.mode("append").parquet(folder)
+    spark.sql("SELECT 2025 AS ` Ano `").coalesce(1).write.mode("append").parquet(folder)
+    assert sorted(rows(billing.read_billing(spark, folder).select("year"))) == [(2024,), (2025,)]
+    spark.sql("SELECT 1 AS ano, 2 AS ` Ano `").coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="' Ano '"):
+        billing.read_billing(spark, folder).collect()
+
+
+def test_headers_of_many_small_files_are_grouped(spark, tmp_path):
+    for i in range(2000):
+        head = ["ano,mês,NmCliente", "NmCliente,ano,mês"][i % 2]
+        (tmp_path / f"f{i:04}.csv").write_text(f"{head}\n" + (f"{2000 + i},1,c\n" if i % 2 == 0 else f"c,{2000 + i},1\n"))
+    found = header_lines(spark, str(tmp_path), "*.csv")
+    assert sorted((r.header, r.files, len(r.paths)) for r in found.collect()) == [("NmCliente,ano,mês", 1000, 1000), ("ano,mês,NmCliente", 1000, 1000)]
+    assert billing.read_billing(spark, str(tmp_path), "csv").agg(F.sum("year"), F.count("client")).first()[:] == (sum(range(2000, 4000)), 2000)
+
+
+def test_only_the_head_of_a_large_file_is_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ano,mês\n" + "2025,1\n" * 400_000)
+    asked = []
+
+    def counting(batches):
+        def told(inner):
+            for batch in inner:
+                asked.append(batch.num_rows)
+                yield batch
+
+        yield from first_line(told(batches))
+
+    batches = (pa.record_batch({"value": [f"line {i}"], "path": ["p"]}) for i in range(1000))
+    assert sum(b.num_rows for b in counting(batches)) == 1 and sum(asked) <= 5
+    assert [r.files for r in header_lines(spark, str(tmp_path), "*.csv").collect()] == [1]
+
+
+def test_files_whose_schemas_clash_are_grouped(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    for i in range(6):
+        kind = "STRING" if i % 3 == 0 else "INT"
+        spark.sql(f"SELECT CAST({2020 + i} AS {kind}) AS ano").coalesce(1).write.mode("append").parquet(folder)
+    paths = [r["path"] for r in billing.list_files(spark, folder, "*.parquet").collect()]
+    groups = schema_groups(spark, paths, "parquet", True)
+    assert sorted(len(own) for _, own in groups) == [2, 4]
+    assert sorted(r.year for r in billing.read_billing(spark, folder).collect()) == list(range(2020, 2026))
+
+
 def test_folder_of_csv_beside_other_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Ano,Mês,NmCliente,VlrFaturamento\n2025,1,Alfa,10.5\n2025,2,Beta,20\n")
     (tmp_path / "notes.txt").write_text("not a table")

@@ -1,11 +1,14 @@
 import json
+import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from faturalens.functions import fixed
 from faturalens.operators import validation as val, warninglog as wl
-from faturalens.sources import warning_log as src
+from faturalens.sources import json_split, warning_log as src
+from faturalens.sources.headers import settings
 
 
 def record(area, warnings, errors=(), stamp="2026-03-19T07:48:59.050758"):
@@ -45,6 +48,70 @@ def test_load_list_envelope_and_anything_else(spark, tmp_path):
     assert [t for _, t in got.dtypes] == ["string", "string", "int", "int", "array<string>", "array<string>", "int", "string"]
 
 
+def ranges_of(spark, size):
+    """Byte ranges of about this size for what is read inside."""
+    return settings(spark, spark__sql__files__maxPartitionBytes=str(size), spark__sql__files__openCostInBytes="1")
+
+
+def odd_value(rng, depth=0):
+    """Strings that look like structure, and structure of any kind."""
+    text = "".join(rng.choices(['"', "\\", "{", "}", "[", "]", '"items":[', "é", "\n", ",", "a"], k=rng.randint(0, 9)))
+    pick = rng.random()
+    if depth > 2 or pick < 0.5:
+        return text
+    if pick < 0.75:
+        return {rng.choice(["items", "k", text]): odd_value(rng, depth + 1) for _ in range(rng.randint(0, 3))}
+    return [odd_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+
+
+def plain_records(text):
+    try:
+        whole = json.loads(text)
+    except ValueError:
+        return []
+    listed = whole.get("items") if isinstance(whole, dict) else whole
+    return [r for r in listed if isinstance(r, dict)] if isinstance(listed, list) else []
+
+
+@pytest.mark.parametrize(("size", "count"), [(30, 8), (200, 40), (10**6, 40)])
+def test_records_equal_a_parser_however_documents_are_cut(spark, tmp_path, size, count):
+    rng = random.Random(4)
+    want = []
+    for i in range(count):
+        items = [odd_value(rng) for _ in range(rng.randint(0, 8))]
+        shape = rng.choice(["list", "object", "object", "neither"])
+        whole = {
+            "list": items, "neither": {"other": items, "x": {"items": items}},
+            "object": dict(rng.sample([("items", items), ("meta", [{"a": 1}, {"b": {"c": [{}]}}]), ("more", {"x": {"y": 1}, "items": [{"no": 1}]}), ("n", 1)], 4)),
+        }[shape]
+        text = json.dumps(whole, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        text = rng.choice([text, text, text + "\n", "\n " + text, text[:-1], text[: len(text) // 2]])
+        (tmp_path / f"{i}.json").write_text(text)
+        want += plain_records(text)
+    with ranges_of(spark, size):
+        got = [json.loads(r.text) for r in json_split.records(spark, str(tmp_path)).collect()]
+    order = lambda rows: sorted(json.dumps(r, sort_keys=True) for r in rows)
+    assert order(got) == order(want)
+
+
+def test_one_large_document_is_read_by_many_tasks(spark, tmp_path):
+    """30 MB in one line; ranges of 2 MB, none of them without records."""
+    one = json.dumps(record("financeiro", [name(1)] * 20, [], "%07d"), ensure_ascii=False)
+    count = 30_000_000 // len(one)
+    (tmp_path / "log.json").write_text('{"schema_version":"1.0","items":[' + ",".join(one % i for i in range(count)) + "]}")
+    with ranges_of(spark, 2_000_000):
+        log = src.load_log(spark, str(tmp_path / "log.json"))
+        assert json_split.pieces(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() >= 10
+    assert log.agg(F.count("*"), F.countDistinct("timestamp"), F.max("timestamp"), F.sum(F.size("avisos"))).first()[:] == (count, count, f"{count - 1:07d}", 20 * count)
+
+
+def test_many_ranges_are_joined_by_a_shuffle(spark, tmp_path, monkeypatch):
+    (tmp_path / "log.json").write_text(json.dumps([record("financeiro", [name(i)], [], str(i)) for i in range(300)]))
+    monkeypatch.setattr(json_split, "MOST_SENT", 0)
+    with ranges_of(spark, 700):
+        assert sorted(int(r.timestamp) for r in src.load_log(spark, str(tmp_path)).collect()) == list(range(300))
+
+
 def load_golden(spark, tmp_path):
     write(tmp_path / "log.json", {"schema_version": "1.0", "items": golden()})
     return src.load_log(spark, str(tmp_path / "log.json"))
