@@ -7,11 +7,12 @@ the dataset. H is the SHA-256 of texts set one after the other, digests as lower
 Leaves get their places by range partitions (`plans.running.numbered`), so a hot source needs no
 task of its own. A tree is built a block of 3^6 nodes at a time: a block's levels are arrays in
 one row, and the tops of the blocks are the nodes of the next round. The levels are then stored as
-node rows, each with its parent's place and the digests of its siblings. A block of leaves is a
+node rows, each with its siblings and a link to the parent; to move less, a row stands for a rise of
+up to three levels and links to the ancestor there. A block of leaves is a
 lane; nodes above a lane are stored once for each lane below them, so that no node is the key of
 more than 729 climbing leaves. The climb is one recursive SQL query: it starts at every leaf with the
 digest recomputed from the (tampered) row, joins the node rows, appends a row with the siblings
-and the folded digest, and goes on at the parent until there is none. The rows of a leaf, put
+and the folded digest, and goes on at the ancestor until there is none. The rows of a leaf, put
 together by depth, give its proof and the root that it folds to.
 
 Nulls in any field have a mark of their own in the leaf. A null source is a source, first in order; rows
@@ -36,6 +37,8 @@ from faturalens.plans.shared import written
 RUN = 3
 BLOCK_LEVELS = 6
 BLOCK = RUN**BLOCK_LEVELS
+# Levels that a node row rises; blocks are a whole number of rises.
+RISE = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -126,25 +129,41 @@ def build(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return rounds, written(whole)
 
 
+def power(exponent: Column) -> Column:
+    return F.pow(F.lit(float(RUN)), exponent).cast("long")
+
+
 def node_rows(rounds: list[DataFrame]) -> DataFrame:
-    """(tree, depth, node, parent, left, right) of every node below its tree's root."""
+    """(tree, depth, node, rise, parent, left, right): the nodes below their tree's root that a climb stops at.
+
+    left[i] and right[i] are the siblings, set together, of the ancestor i levels up.
+    """
     tables = []
+    joined = lambda part: F.unhex(F.array_join(F.transform(part, F.hex), ""))
     for number, table in enumerate(rounds):
-        levels = F.slice("levels", 1, F.size("levels") - 1)
-        level = table.select("tree", "block", F.posexplode(levels).alias("step", "nodes"))
-        width = F.pow(F.lit(float(RUN)), F.lit(BLOCK_LEVELS) - F.col("step")).cast("long")
-        rows = level.select("tree", (F.col("step") + number * BLOCK_LEVELS).alias("depth"), (F.col("block") * width).alias("base"), "nodes", F.posexplode("nodes").alias("at", "digest"))
-        slot = F.col("at") % RUN
-        first = F.col("at") - slot + 1
-        joined = lambda part: F.unhex(F.array_join(F.transform(part, F.hex), ""))
-        node = F.col("base") + F.col("at")
-        tables.append(
-            rows.select(
-                "tree", "depth", node.alias("node"), F.floor(node / RUN).alias("parent"),
-                joined(F.slice("nodes", first, slot)).alias("left"),
-                joined(F.slice("nodes", first + slot + 1, RUN - 1 - slot)).alias("right"),
+        stops = table.where(F.size("levels") > 1).select("*", F.explode(F.sequence(F.lit(0), F.size("levels") - 2, F.lit(RISE))).alias("step"))
+        stops = stops.withColumn("rise", F.least(F.lit(RISE), F.size("levels") - 1 - F.col("step")))
+        base = F.col("block") * power(F.lit(BLOCK_LEVELS) - F.col("step"))
+
+        def sibling(at: Column, up: Column, behind: bool) -> Column:
+            level, place = F.get("levels", F.col("step") + up), F.floor(at / power(up)).cast("int")
+            slot = place % RUN
+            first = place - slot + 1
+            return joined(F.slice(level, first + slot + 1, RUN - 1 - slot) if behind else F.slice(level, first, slot))
+
+        def row(digest: Column, at: Column) -> Column:
+            ups = F.sequence(F.lit(0), F.col("rise") - 1)
+            node = base + at
+            return F.struct(
+                node.alias("node"),
+                F.floor(node / power(F.col("rise"))).alias("parent"),
+                F.transform(ups, lambda up: sibling(at, up, False)).alias("left"),
+                F.transform(ups, lambda up: sibling(at, up, True)).alias("right"),
             )
-        )
+
+        rows = F.transform(F.get("levels", F.col("step")), row)
+        depth = (F.col("step") + number * BLOCK_LEVELS).alias("depth")
+        tables.append(stops.select("tree", depth, "rise", F.inline(rows)).select("tree", "depth", "node", "rise", "parent", "left", "right"))
     whole = tables[0]
     for more in tables[1:]:
         whole = whole.union(more)
@@ -152,47 +171,50 @@ def node_rows(rounds: list[DataFrame]) -> DataFrame:
 
 
 def lane_nodes(nodes: DataFrame, above_sources: DataFrame, trees: DataFrame) -> DataFrame:
-    """The node rows that a climb meets: lane, depth, node, next_node, left, right.
+    """The node rows that a climb meets: lane, depth, node, next_depth, next_node, left, right.
 
     Nodes with at most a lane's leaves below them are in one lane; all higher ones, those above the
     sources included, are repeated for each lane below them.
     """
-    low = nodes.where(F.col("depth") < BLOCK_LEVELS)
-    span = F.pow(F.lit(float(RUN)), F.lit(BLOCK_LEVELS) - F.col("depth")).cast("long")
-    shared = trees.select("tree", "height")
-    last = F.col("depth") + 1 == F.col("height")
+    met = ["tree", "lane", "depth", "node", "next_depth", "next_node", "left", "right"]
+    next_depth = F.col("depth") + F.col("rise")
     # A source's root goes on as the node of its source among the sources.
-    next_node = F.when(last, F.col("tree")).otherwise(F.col("parent")).alias("next_node")
-    in_lane = low.join(shared, "tree").select("tree", F.floor(F.col("node") / span).alias("lane"), "depth", "node", next_node, "left", "right")
+    next_node = F.when(next_depth == F.col("height"), F.col("tree")).otherwise(F.col("parent"))
+    linked = {"next_depth": next_depth, "next_node": next_node}
+    low = nodes.where(F.col("depth") < BLOCK_LEVELS).join(trees.select("tree", "height"), "tree")
+    in_lane = low.withColumn("lane", F.floor(F.col("node") / power(F.lit(BLOCK_LEVELS) - F.col("depth")))).withColumns(linked)
 
     lanes = trees.select("tree", "height", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK))).alias("lane"))
     # Lanes and their few nodes above: one row for 729 leaves each.
-    steps = lanes.where(F.col("height") > BLOCK_LEVELS).select("*", F.explode(F.sequence(F.lit(BLOCK_LEVELS), F.col("height") - 1)).alias("depth"))
-    at = F.floor(F.col("lane") / F.pow(F.lit(float(RUN)), F.col("depth") - BLOCK_LEVELS))
+    stops = F.explode(F.sequence(F.lit(BLOCK_LEVELS), F.col("height") - 1, F.lit(RISE))).alias("depth")
+    steps = lanes.where(F.col("height") > BLOCK_LEVELS).select("*", stops)
+    at = F.floor(F.col("lane") / power(F.col("depth") - BLOCK_LEVELS))
     high = nodes.where(F.col("depth") >= BLOCK_LEVELS)
-    over_lane = steps.withColumn("node", at).join(high, ["tree", "depth", "node"]).select("tree", "lane", "depth", "node", next_node, "left", "right")
+    over_lane = steps.withColumn("node", at).join(high, ["tree", "depth", "node"]).withColumns(linked)
 
-    top = above_sources.select(F.col("depth").alias("step"), F.col("node").alias("place"), "parent", "left", "right")
+    top = above_sources.select(F.col("depth").alias("step"), "node", "rise", "parent", "left", "right")
     most = above_sources.agg(F.max("depth")).first()[0]
+    found = in_lane.select(*met).union(over_lane.select(*met))
     if most is None:
-        return in_lane.union(over_lane)
-    walk = lanes.select("*", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("step"))
-    walk = walk.withColumn("place", F.floor(F.col("tree") / F.pow(F.lit(float(RUN)), F.col("step"))))
-    over_sources = walk.join(top, ["step", "place"]).select(
-        "tree", "lane", (F.col("height") + F.col("step")).alias("depth"), F.col("place").alias("node"), F.col("parent").alias("next_node"), "left", "right"
-    )
-    return in_lane.union(over_lane).union(over_sources)
+        return found
+    walk = lanes.select("*", F.explode(F.sequence(F.lit(0), F.lit(most), F.lit(RISE))).alias("step"))
+    walk = walk.withColumn("node", F.floor(F.col("tree") / power(F.col("step"))))
+    over_sources = walk.join(top, ["step", "node"]).withColumn("depth", F.col("height") + F.col("step"))
+    over_sources = over_sources.withColumns({"next_depth": next_depth, "next_node": F.col("parent")})
+    return found.union(over_sources.select(*met))
 
 
-CLIMB = """
+# The digest `{value}` folded with a node's siblings, level by level.
+FOLD = "aggregate(sequence(0, size(n.left) - 1), {value}, (a, i) -> unhex(sha2(lower(hex(concat(n.left[i], a, n.right[i]))), 256)))"
+CLIMB = f"""
 WITH RECURSIVE climb AS (
-  SELECT l.number, l.tree, l.lane, n.depth, n.next_node AS node, n.left, n.right,
-    unhex(sha2(lower(hex(concat(n.left, l.changed, n.right))), 256)) AS folded
-  FROM {leaves} l JOIN {nodes} n ON n.tree = l.tree AND n.lane = l.lane AND n.depth = 0 AND n.node = l.node
+  SELECT l.number, l.tree, l.lane, n.depth, n.next_depth, n.next_node, n.left, n.right, {FOLD.format(value="l.changed")} AS folded
+  FROM {{leaves}} l JOIN {{nodes}} n ON n.tree = l.tree AND n.lane = l.lane AND n.node = l.node
+  WHERE n.depth = 0
   UNION ALL
-  SELECT c.number, c.tree, c.lane, n.depth, n.next_node, n.left, n.right,
-    unhex(sha2(lower(hex(concat(n.left, c.folded, n.right))), 256))
-  FROM climb c JOIN {nodes} n ON n.tree = c.tree AND n.lane = c.lane AND n.depth = c.depth + 1 AND n.node = c.node)
+  SELECT c.number, c.tree, c.lane, n.depth, n.next_depth, n.next_node, n.left, n.right, {FOLD.format(value="c.folded")}
+  FROM climb c JOIN {{nodes}} n ON n.tree = c.tree AND n.lane = c.lane AND n.depth = c.next_depth AND n.node = c.next_node
+  WHERE n.depth > 0)
 SELECT number, depth, left, right, folded FROM climb
 """
 
@@ -226,7 +248,8 @@ def manifest(docs: DataFrame, tamper: Column | None = None) -> DataFrame:
     climbed = spark.sql(CLIMB.format(leaves=f"{name}_leaves", nodes=f"{name}_nodes"))
     steps = climbed.select("number", F.struct("depth", "left", "right", "folded").alias("step"), *[F.lit(None).cast(t).alias(c) for c, t in (("tree", "long"), ("doc_id", placed.schema["doc_id"].dataType), ("leaf", "binary"))])
     # The leaf itself is step -1: it gives the row its columns, and the digest that a lone leaf folds to.
-    begin = F.struct(F.lit(-1).alias("depth"), F.lit(b"").alias("left"), F.lit(b"").alias("right"), F.col("changed").alias("folded"))
+    nothing = F.array().cast("array<binary>")
+    begin = F.struct(F.lit(-1).alias("depth"), nothing.alias("left"), nothing.alias("right"), F.col("changed").alias("folded"))
     begun = placed.select("number", begin.alias("step"), "tree", "doc_id", "leaf")
     gathered = begun.unionByName(steps).groupBy("number").agg(
         F.sort_array(F.collect_list("step")).alias("steps"),
@@ -234,7 +257,8 @@ def manifest(docs: DataFrame, tamper: Column | None = None) -> DataFrame:
         F.max("doc_id").alias("doc_id"),
         F.max("leaf").alias("leaf"),
     )
-    siblings = F.array_join(F.transform("steps", lambda s: F.lower(F.hex(F.concat(s["left"], s["right"])))), "")
+    level = lambda pair: F.lower(F.hex(F.concat(pair["left"], pair["right"])))
+    siblings = F.array_join(F.transform("steps", lambda s: F.array_join(F.transform(F.arrays_zip(s["left"].alias("left"), s["right"].alias("right")), level), "")), "")
     folded = F.lower(F.hex(F.element_at("steps", -1)["folded"]))
     return gathered.join(trees.select("tree", "subroot"), "tree").select(
         "doc_id",
