@@ -147,3 +147,22 @@ def regex(pattern: str, flags: str = "iUd") -> str:
     """Inline the flags: U brings Unicode case folding, word borders and blanks; with d
     only a line feed ends a line."""
     return f"(?{flags}){pattern}"
+
+# --- fixed values: wordings around prompts and report texts -------------------------------
+INSIGHTS_MARKER = "{insights}"
+DATA_MARKER = "{dados}"
+CONTRACT_REMINDER = (
+    "\n\n=== CONTRATO DE SAIDA (OBRIGATORIO) ===\n"
+    "- Responda APENAS com JSON válido.\n"
+    "- Não inclua texto antes/depois, nem Markdown ou codefence.\n"
+    "- O JSON DEVE ser um objeto (dict) e seguir o esquema descrito.\n"
+)
+REPORT_RETRY = (
+    "\n\n---\n"
+    "ATENCAO: A resposta anterior NAO seguiu o formato requerido. "
+    "Reescreva SOMENTE com Markdown e seguindo exatamente todas as seções obrigatórias do início do template."
+    "\n\n---\n"
+    "Resposta anterior (para referência):\n"
+)
+REPORT_MISSING = "❌ Gerente não retornou conteúdo"
+REPORT_BAD_FORMAT = "❌ Gerente retornou conteúdo, mas o formato ficou fora do padrão.\n\n"
