@@ -14,6 +14,7 @@ by a space, as its library does.
 
 Null and empty texts give no ids, zero tokens and an empty decoded text. Repeated rows and
 ties are encoded alike, an empty table gives an empty one, and only doc_id and text are read.
+Texts of any length are encoded whole; runs that are kept are bounded in bytes, long ones aren't kept.
 """
 
 from __future__ import annotations
@@ -36,12 +37,15 @@ from tokenizers import Tokenizer
 from faturalens.llm import common
 
 TOKENIZER = "word_bpe_49k.json"
-KEPT_RUNS = 250_000
+# Most bytes of kept runs in a worker, what one takes beside its characters and ids, and the longest run kept.
+KEPT_BYTES = 96_000_000
+RUN_BYTES = 160
+LONGEST_KEPT = 96
 KEPT_PAIRS = 1_000_000
 DECODE_IDS = 200_000
 # Up to U+024F every Unicode version agrees on letters, numbers, case and composed forms.
 LATIN = regex.compile(r"[\x21-\x7e\xa1-\u024f]+")
-# The splitter's pattern, as the tokenizer file has it.
+# Fixed value: the splitter's pattern, as the tokenizer file has it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 # These characters are blanks to Python but not to the splitter.
@@ -49,16 +53,21 @@ BLANKS = re.compile("[\\t-\\r \x85\xa0  -     　]+")
 
 
 class Runs(dict):
-    """Ids of runs without white space, as bytes; forgets all when full."""
+    """Ids of runs without white space, as bytes; forgets all when full, and keeps no long run."""
 
-    def __init__(self, encode, limit: int = KEPT_RUNS):
+    def __init__(self, encode, limit: int = KEPT_BYTES):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.held = encode, limit, 0
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[run] = value = self.encode(run)
+        value = self.encode(run)
+        if len(run) <= LONGEST_KEPT:
+            size = RUN_BYTES + 4 * len(run) + len(value)
+            if self.held + size > self.limit:
+                self.clear()
+                self.held = 0
+            self[run] = value
+            self.held += size
         return value
 
 

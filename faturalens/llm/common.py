@@ -20,7 +20,6 @@ from faturalens.plans.shared import written as written
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SLICE_BYTES = 2_000_000
 BATCH_ROWS = 2_000
-BATCH_BYTES = 32 << 20
 HELD_OUT_MODULUS = 5
 
 
@@ -28,7 +27,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package, keep their batches small, and see that there is a shared folder."""
     # A batch of whole texts is held several times over in a worker: arrays, bytes, results.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     known = context.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):

@@ -29,6 +29,8 @@ from faturalens.llm import common
 UNKNOWN = "und"
 PER_LANGUAGE = 300
 BUCKETS = 4096
+# Filters reject documents whose language's machines agree with less than this probability.
+LEAST_SCORE = 0.5
 ROUNDS = 150
 PENALTY = 1e-4
 SHARPNESS = 3.0
@@ -232,12 +234,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return common.map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
-    """The documents, every column as it was, whose predicted language is one of `languages` (all learned ones by default)."""
+def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents, every column as it was, whose predicted language is wanted and whose score isn't below the least.
+
+    `languages` are those wanted, all learned ones by default; a text without a letter has none.
+    """
     wanted = set(model.languages if languages is None else languages)
 
     def mask(batch: pa.RecordBatch) -> list[bool]:
-        names, _ = predict_texts(model, [text.decode("utf-8", "replace") for text in common.texts_of(batch)])
-        return [name in wanted for name in names]
+        names, scores = predict_texts(model, [text.decode("utf-8", "replace") for text in common.texts_of(batch)])
+        return [name in wanted and score >= least_score for name, score in zip(names, scores, strict=True)]
 
     return common.filter_batches(docs, mask)

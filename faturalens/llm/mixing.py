@@ -12,7 +12,7 @@ these small groups give where each begins. Only one row per source ever meets in
 
 Null texts have size 0. A null source is a source, last in order. Rows without an id and repeated
 rows are rows like others; equal rows take what equal places in the order get, whichever of them
-is first. Extra columns stay; an empty table gives an empty one; sources without words have
+is first. Extra columns of any type stay; an empty table gives an empty one; sources without words have
 target 0 and are never taken.
 """
 
@@ -31,6 +31,11 @@ ROWS_PER_SALT = 200
 OWN = "mix_size mix_key mix_class mix_salt mix_before mix_rate mix_offset mix_target mix_source_size mix_order".split()
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in docs.columns]
+
+
 def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
@@ -85,7 +90,10 @@ def mix(
 ) -> DataFrame:
     """docs with the columns mix_size, mix_source_size, mix_target and mix_copies (0 to `most`)."""
     docs = docs.drop(*OWN, "mix_copies", "mix_rows")
-    hashed = F.xxhash64(*docs.columns).alias("mix_order")
+    # Maps can't be hashed; their JSON texts can.
+    own = columns_of(docs)
+    plain = [F.to_json(F.struct(column)) if "map<" in kind else column for column, (_, kind) in zip(own, docs.dtypes, strict=True)]
+    hashed = F.xxhash64(*plain).alias("mix_order")
     sized = docs.select("*", word_count().alias("mix_size"), source_key().alias("mix_key"), hashed)
     slim = docs.select(word_count().alias("mix_size"), source_key().alias("mix_key"))
     sums = slim.groupBy("mix_key").agg(F.sum("mix_size").alias("mix_source_size"), F.count("*").alias("mix_rows"))
@@ -125,12 +133,12 @@ def mix(
     part = F.col("mix_rate") - whole
     crossed = F.floor(number * part + F.col("mix_offset")) - F.floor((number - 1) * part + F.col("mix_offset"))
     copies = F.least(whole + crossed, F.lit(most)).cast("int")
-    return numbered.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
+    return numbered.select(*own, "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, whatever their columns are called."""
-    whole = F.struct(*docs.columns).alias("mix_row")
+    whole = F.struct(*columns_of(docs)).alias("mix_row")
     mixed = mix(docs.select("doc_id", "text", "source", whole), **options)
     times = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
     return mixed.where("mix_copies > 0").select("mix_row", times.alias("mix_time")).select("mix_row.*")

@@ -27,7 +27,8 @@ from faturalens.llm import common
 # A sum of products below this is exact in double arithmetic.
 EXACT = 1 << 53
 LONG = 1 << 63
-# Most bytes of one matrix, and blocks whose lists a task keeps open.
+# Most bytes of a batch of tiles in a worker, of one matrix, and blocks whose lists a task keeps open.
+BATCH_BYTES = 32 << 20
 PACK_BYTES = 4_000_000
 OPEN_BLOCKS = 16
 PACK_SCHEMA = "dim int, ids binary, labels binary, body binary"
@@ -105,6 +106,8 @@ def groups_of(df: DataFrame) -> int:
 
 def joined(block_rows: DataFrame, shard_rows: DataFrame, groups: int) -> DataFrame:
     """Every block beside every shard, those of other lengths included; columns of blocks begin with q_."""
+    # Tiles are large rows: a batch is bounded by its bytes.
+    block_rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     names = [F.col(name).alias(f"q_{name}") for name in block_rows.columns]
     copies = block_rows.select(*names, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     # Each partition deals its shards one by one, beginning at a group of its own.

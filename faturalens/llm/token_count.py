@@ -3,14 +3,16 @@
 Pre-tokens of a batch lie side by side in one ragged array of symbol ids. In each round every
 sequence finds the lowest rank among its neighbouring pairs, and all sequences merge their own
 lowest-ranked pair at once, at each place where it stands; symbols that survive until no pair has
-a rank are the tokens. Counts of pre-tokens are kept, so that a batch merges only new ones.
+a rank are the tokens. Counts of short parts are kept, so that a batch merges only new ones; what is
+kept is bounded in bytes.
 
-A text is cut at the file's special strings, which are a token each, and then at single spaces:
-a space starts the pre-token behind it. Texts with other runs of white space next to a space go
-through the splitter as a whole.
+A text is cut at the file's special strings, which are a token each, and then at each space between
+two characters that aren't white space: such a space always starts the pre-token behind it. Other
+white space stays inside its part, which the splitter takes apart.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows count alike; an empty table gives
-an empty one; only doc_id and text are read.
+an empty one; only doc_id and text are read. Texts of any length are counted whole; a part without
+such a space is merged in one array, of the part's length, and isn't kept if it is long.
 """
 
 from __future__ import annotations
@@ -29,9 +31,13 @@ from faturalens.llm import common
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
-KEPT_PARTS = 500_000
-# White space beside a space, where the cut at single spaces would move a border.
+# Most bytes of kept parts in a worker, what one takes beside its characters, and the longest part kept.
+KEPT_BYTES = 48_000_000
+PART_BYTES = 120
+LONGEST_KEPT = 64
+# White space beside a space, where not every space is a border.
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
+BORDER = re.compile(r"(?<=\S) (?=\S)")
 NONE = np.int64(1 << 40)
 
 
@@ -61,6 +67,7 @@ class Counter:
         special = sorted((token["content"] for token in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)))
         self.parts: dict[str, int] = {}
+        self.held = 0
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
@@ -132,19 +139,20 @@ class Counter:
             for piece in pieces:
                 if not piece:
                     continue
-                if UNEVEN.search(piece):
-                    own.append(piece)
-                else:
-                    first, *rest = piece.split(" ")
-                    own.append(first)
-                    own += [" " + word for word in rest]
+                first, *rest = BORDER.split(piece) if UNEVEN.search(piece) else piece.split(" ")
+                own.append(first)
+                own += [" " + word for word in rest]
             parts.append(own)
+        if self.held > KEPT_BYTES:
+            self.parts.clear()
+            self.held = 0
         known = self.parts
-        if len(known) > KEPT_PARTS:
-            known.clear()
-        new = {part for own in parts for part in own if part not in known}
-        known.update(self.count_new(list(new)))
-        return [sum(map(known.__getitem__, own)) + int(extra) for own, extra in zip(parts, special, strict=True)]
+        found = self.count_new(list({part for own in parts for part in own if part not in known}))
+        for part, tokens in found.items():
+            if len(part) <= LONGEST_KEPT and self.held <= KEPT_BYTES:
+                known[part] = tokens
+                self.held += PART_BYTES + 4 * len(part)
+        return [sum(known[part] if part in known else found[part] for part in own) + int(extra) for own, extra in zip(parts, special, strict=True)]
 
 
 @lru_cache(maxsize=4)

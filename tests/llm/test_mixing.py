@@ -1,6 +1,7 @@
 """Mixing against a plain water-filling, and its promises."""
 
 import random
+import re
 
 import pytest
 
@@ -66,6 +67,33 @@ def test_many_salts_give_whole_numbering(spark):
         assert abs(sum(r["mix_copies"] for r in own) - rate * len(own)) <= 1
 
 
+def test_the_contract_on_documents(spark):
+    """Targets and sizes by plain counting; what is taken of a source is within its two largest documents of its target."""
+    common.prepare(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: (r["source"], len(re.findall("[^\x20\x09-\x0d]+", r["text"] or ""))) for r in docs.collect()}
+    sizes, largest = {}, {}
+    for source, size in texts.values():
+        sizes[source] = sizes.get(source, 0) + size
+        largest[source] = max(largest.get(source, 0), size)
+    taken, want = dict.fromkeys(sizes, 0), plain_targets(sizes)
+    got = mixing.mix(docs).collect()
+    assert {r["doc_id"]: (r["source"], r["mix_size"]) for r in got} == texts and len(got) == len(texts)
+    for r in got:
+        taken[r["source"]] += r["mix_copies"] * r["mix_size"]
+        assert r["mix_source_size"] == sizes[r["source"]] and r["mix_target"] == pytest.approx(want[r["source"]])
+        assert 0 <= r["mix_copies"] <= 2
+    assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(abs(taken[s] - want[s]) <= 2 * largest[s] for s in sizes)
+
+
+def test_columns_of_any_type_stay(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, 'a b' AS text, 's' AS source, map('k', 1) AS `m.x`, array(map('a', 'b')) AS l, struct(map(1, 2)) AS t")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r["m.x"]["k"] for r in mixed.collect()} <= {1}
+    assert mixing.mix(docs).columns[:6] == docs.columns
+
+
 def test_edges(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     nothing = mixing.mix(spark.createDataFrame([(1, None, "a", ""), (None, " \n", None, "")], SCHEMA)).collect()

@@ -45,6 +45,48 @@ def test_language_on_held_out_documents(spark, docs):
     assert language.accepted(odd(spark), model).columns == ["doc_id", "text", "score"]
 
 
+def test_votes_and_scores_by_hand(spark, docs):
+    """Each machine's margin from the features, each vote and each probability one by one."""
+    model = language.learn(docs, 60)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["the der le", "x1", "zzz zzz qqq"]
+    rows = language.features(texts).astype(np.float64)
+    names, scores = language.predict_texts(model, texts)
+    family = lambda i: language.FAMILY_OF.get(model.languages[i], model.languages[i])
+    for text, row, name, score in zip(texts, rows, names, scores, strict=True):
+        margins = [float(row @ model.weights[: language.BUCKETS, m] + model.bias[m]) for m in range(len(model.machines))]
+        votes, sums = Counter(), Counter()
+        for margin, (first, second) in zip(margins, model.machines, strict=True):
+            level = len(model.languages) if family(first[0]) != family(second[0]) else 1
+            for member in first if margin >= 0 else second:
+                votes[member] += level
+            for member in first + second:
+                sums[member] += level * (margin if member in first else -margin)
+        most = max(votes.values())
+        best = max((i for i in votes if votes[i] == most), key=lambda i: sums[i])
+        assert name == model.languages[best]
+        right = 1.0
+        for margin, (first, second) in zip(margins, model.machines, strict=True):
+            if best in first + second:
+                sure = 1 / (1 + np.exp(-language.SHARPNESS * abs(margin)))
+                right *= sure if (margin >= 0) == (best in first) else 1 - sure
+        assert score == pytest.approx(right, abs=2e-3)
+
+
+def test_documents_leave_by_language_and_by_score(spark, docs):
+    model = language.learn(docs, 150)
+    planted = docs.where("doc_id % 7 = 0").unionByName(
+        spark.createDataFrame([(-1, "Xq zj 9 kx", "en", "s", 9), (-2, "123 !!", "en", "s", 6), (-3, None, "en", "s", 0)], docs.schema)
+    )
+    said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(planted, model).collect()}
+    for wanted, least in ((None, 0.5), (["en", "fr"], 0.0), (None, 0.97), ([], 0.0)):
+        kept = {r["doc_id"] for r in language.accepted(planted, model, wanted, least).collect()}
+        assert kept == {i for i, (name, score) in said.items() if name in (wanted if wanted is not None else model.languages) and score >= least}
+    assert 0 < len(language.accepted(planted, model, None, 0.97).collect()) < len(said) - 2
+    known = {r["doc_id"] for r in planted.where("doc_id >= 0").collect()}
+    default = {r["doc_id"] for r in language.accepted(planted, model).collect()}
+    assert len(default & known) >= 0.99 * len(known) and not default & {-2, -3}
+
+
 def test_one_language_and_pieces_of_long_texts():
     model = language.fit_rows(language.features(["the cat", "a dog"]), ["en", "en"])
     assert language.predict_texts(model, ["what", "1"]) == (["en", "und"], [1.0, 0.0])
@@ -175,6 +217,35 @@ def test_site_quality_on_held_out_documents(spark, docs, labels):
     assert site_quality.score(docs.limit(0), labels, F.col("source"), F.col("lang")).collect() == []
 
 
+def test_posteriors_by_hand(spark, docs, labels):
+    """Prior strengths by moments, host and path posteriors without the row's own label, and the score."""
+    got = {r["doc_id"]: r for r in site_quality.score(docs, labels, F.col("source"), F.col("lang")).collect()}
+    place = {r["doc_id"]: (r["source"], r["lang"]) for r in docs.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.where("quality IS NOT NULL").collect() if r["doc_id"] in got and not got[r["doc_id"]]["held_out"]}
+    hosts, paths = Counter(), Counter()
+    for doc, quality in marks.items():
+        for table, key in ((hosts, place[doc][0]), (paths, place[doc])):
+            table[key, "n"] += 1
+            table[key, "good"] += quality
+    base = (sum(marks.values()) + 0.5) / (len(marks) + 1)
+
+    def strength(table, rate):
+        keys = [key for key, what in table if what == "n"]
+        n, p, r = (np.array(x, dtype=float) for x in zip(*[(table[k, "n"], table[k, "good"] / table[k, "n"], rate(k)) for k in keys], strict=True))
+        excess = ((n * (p - r) ** 2).sum() - (r * (1 - r)).sum()) / max((n * r * (1 - r)).sum() - (r * (1 - r)).sum(), 1e-9)
+        return min(site_quality.MOST_STRENGTH, max(site_quality.LEAST_STRENGTH, 1 / excess - 1)) if excess > 0 else site_quality.MOST_STRENGTH
+
+    host_strength = strength(hosts, lambda k: base)
+    host_rate = lambda h: (hosts[h, "good"] + host_strength * base) / (hosts[h, "n"] + host_strength)
+    path_strength = strength(paths, lambda k: host_rate(k[0]))
+    for doc, r in got.items():
+        key, own, good = place[doc], int(doc in marks), marks.get(doc, 0)
+        host = (hosts[key[0], "good"] - good + host_strength * base) / (hosts[key[0], "n"] - own + host_strength)
+        path = (paths[key, "good"] - good + path_strength * host) / (paths[key, "n"] - own + path_strength)
+        assert (r["host_posterior"], r["path_posterior"]) == (pytest.approx(host), pytest.approx(path))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(r["evidence"] + np.log(path / (1 - path))))))
+
+
 def test_sparse_sites_shrink(spark):
     base = "Some good words stand in this line of text, and more of them follow here.\n" * 2
     ids = [i for i in range(400)]

@@ -40,9 +40,37 @@ def test_encoder_equals_the_library(texts):
 
 
 def test_runs_are_forgotten_when_full():
-    runs = bpe_encode.Runs(lambda run: run.encode(), 2)
+    runs = bpe_encode.Runs(lambda run: run.encode(), 2 * (bpe_encode.RUN_BYTES + 5))
     assert [runs[x] for x in "abcab"] == [x.encode() for x in "abcab"]
     assert len(runs) <= 2
+    assert runs["x" * 200] == b"x" * 200 and "x" * 200 not in runs
+
+
+BLANKS = ["\n\n", "  ", " \n", "\t", "\u3000", "\x85 ", "\x1c", " "]
+
+
+def test_texts_full_of_blanks_keep_little_and_count_right(monkeypatch):
+    """5,000 texts with blank lines throughout; what is kept stays under its bound, and is never a text."""
+    source = random.Random(8)
+    texts = ["".join(source.choices(["ab", "word", "é", "12", "don't", *BLANKS], k=60)) + str(i) + "\n\n" for i in range(5000)]
+    library, own = Tokenizer.from_file(public_tokenizers.path(token_count.TOKENIZER)), token_count.Counter(public_tokenizers.path(token_count.TOKENIZER))
+    monkeypatch.setattr(token_count, "KEPT_BYTES", 200_000)
+    want = [len(one.ids) for one in library.encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for low in range(0, 5000, 500):
+        got += own.count(texts[low : low + 500])
+        assert sum(token_count.PART_BYTES + 4 * len(part) for part in own.parts) <= 201_000
+        assert max(map(len, own.parts)) <= token_count.LONGEST_KEPT
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ab1 " * 250_000, "\n\n" * 500_000, "word\n\n" * 160_000, "漢字" * 100_000])
+def test_a_megabyte_of_one_kind(text):
+    library, own = Tokenizer.from_file(public_tokenizers.path(token_count.TOKENIZER)), token_count.counter()
+    assert own.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    library, encoder = Tokenizer.from_file(public_tokenizers.path(bpe_encode.TOKENIZER)), bpe_encode.encoder()
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
 
 
 def test_counts_equal_the_library(texts):
@@ -72,6 +100,13 @@ def test_encode_then_decode(spark):
     assert [r["n_decoded"] for r in bpe_encode.round_trip(docs).collect()] == [len(got[1]), 0]
 
 
+def test_token_counts_of_repeats_and_clashing_columns(spark):
+    common.prepare(spark)
+    rows = [(1, "same text", 9, True), (1, "same text", 9, True), (None, "same text", 9, None)]
+    got = token_count.token_counts(docs_of(spark, rows, ", n_tokens int, over_limit boolean")).collect()
+    assert [(r["doc_id"], r["n_tokens"], r["over_limit"]) for r in got] == [(1, 2, False), (1, 2, False), (None, 2, False)]
+
+
 def test_token_counts_of_nulls_and_the_limit(spark):
     got = token_count.token_counts(docs_of(spark, [(1, None), (2, "é"), (3, "word " * 600)])).collect()
     assert [(r["n_bytes"], r["over_limit"]) for r in got] == [(0, False), (2, False), (3000, True)]
