@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faturalens.catalog.log import WARNING_SQL, log
+from faturalens.catalog.money import PROFILE_SQL, on_facts
 from faturalens.catalog.registry import Query, with_ctes
 from faturalens.catalog.text import CHECK_CTES, joined
 from faturalens.operators import warninglog as wl
-from faturalens.plans.driver_tables import table
+from faturalens.plans import profile_store as store_of
+from faturalens.plans.driver_tables import facts, table
 from faturalens.plans.shared import shared_folder, written
 from faturalens.sources import billing, warning_log
 
@@ -87,6 +89,17 @@ def empty_sources(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(found, "source string, has_rows boolean")
 
 
+def stored_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The profile out of a store that two batches of files were added to; the second reads its own files only."""
+    folder, store = new_folder(spark, "facts"), new_folder(spark, "store")
+    rows = facts(spark, d)
+    rows.where("year < 1997").write.mode("append").parquet(folder)
+    store_of.add_new_files(spark, folder, store, "1")
+    rows.where("coalesce(year >= 1997, true)").write.mode("append").parquet(folder)
+    store_of.add_new_files(spark, folder, store, "2")
+    return store_of.stored_profile(spark, store)
+
+
 LOG_LINE = (
     '{"timestamp":"t%d","assistente":"%s","quantidade_avisos":%d,"avisos":["Cliente \\"%s\\" não encontrado }{","b"],'
     '"erros":[],"extra":{"items":[{"n":1}]}}'
@@ -171,6 +184,7 @@ QUERIES = {
     "empty_sources": Query(
         empty_sources, "SELECT 'empty' AS source, false AS has_rows UNION ALL SELECT 'orders', count(*) > 0 FROM orders"
     ),
+    "stored_profile": Query(stored_profile, on_facts("SELECT section, key, value FROM profile", PROFILE_SQL)),
     "log_load": Query(
         log_load,
         """SELECT 't' || o_orderkey AS timestamp, o_orderstatus AS assistente, CAST(o_orderkey % 5 AS INTEGER) AS quantidade_avisos,

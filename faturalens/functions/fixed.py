@@ -95,6 +95,8 @@ JSON_ERRORS = {
     # Kept for completeness of the message set: a candidate starts with a brace, so it is an
     # object whenever it parses, and this message cannot occur.
     "candidate_not_object": "JSON extraído mas não é um objeto (dict)",
+    # Our own: JSON that is beyond the size of a variant.
+    "too_large": "JSON grande demais para ser lido",
 }
 
 # --- fixed values: outputs -------------------------------------------------------------------

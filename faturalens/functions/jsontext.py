@@ -33,6 +33,15 @@ def parse_strict(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(_OUTLINE)), value)
 
 
+# A variant takes about the bytes of its text. Below this many, no text is beyond the limit of a variant.
+SURELY_FITS = 12_000_000
+
+
+def too_large(text: Column) -> Column:
+    """Whether a text that `parse_strict` gave nothing for is JSON, and only beyond the size of a variant."""
+    return (F.octet_length(text) > SURELY_FITS) & F.coalesce(F.get_json_object(text, "$").isNotNull(), F.lit(False))
+
+
 def kind(value: Column) -> Column:
     """`object`, `array` or `scalar`; null for a missing value."""
     first = F.left(F.schema_of_variant(value), F.lit(5))
@@ -97,6 +106,7 @@ def with_json_object(df: DataFrame, text: str = "text") -> DataFrame:
             F.when(empty, F.lit(errors["empty"]))
             .when(whole != "{", F.lit(errors["not_object"]))
             .when(whole.isNotNull() | found.isNotNull(), F.lit(None))
+            .when(too_large(raw), F.lit(errors["too_large"]))
             .when(~F.contains(raw, F.lit("}")), F.lit(errors["no_delimiter"]))
             .otherwise(F.lit(errors["not_found"])),
         )

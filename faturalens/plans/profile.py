@@ -20,18 +20,27 @@ NAME_SECTIONS = ["clientes", "colaboradores"]
 PERIOD_SECTIONS = ["anos", "meses"]
 
 
-def _levels(facts: DataFrame) -> DataFrame:
+def row_sums() -> dict[str, Column]:
+    """What is summed up of billing rows."""
+    return {
+        "records": F.count(F.lit(1)),
+        "revenue": F.sum("amount"),
+        "amounts": F.count("amount"),
+        "lowest": F.min("amount"),
+        "highest": F.max("amount"),
+    }
+
+
+def part_sums() -> dict[str, Column]:
+    """How sums of parts of the rows are put together."""
+    return {name: (F.min if name == "lowest" else F.max if name == "highest" else F.sum)(name) for name in row_sums()}
+
+
+def _levels(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Measures per month, year, client, collaborator and overall."""
-    fine = facts.groupingSets(
+    fine = rows.groupingSets(
         [["year", "month", "collaborator"], ["client"]], "year", "month", "collaborator", "client"
-    ).agg(
-        F.grouping_id().alias("_set"),
-        F.count(F.lit(1)).alias("records"),
-        F.sum("amount").alias("revenue"),
-        F.count("amount").alias("amounts"),
-        F.min("amount").alias("lowest"),
-        F.max("amount").alias("highest"),
-    )
+    ).agg(F.grouping_id().alias("_set"), *[value.alias(name) for name, value in sums.items()])
 
     def level(name: str, year=None, month=None, key=None) -> Column:
         return F.struct(
@@ -50,7 +59,7 @@ def _levels(facts: DataFrame) -> DataFrame:
         level("all"),
     )
     client_set = F.col("_set") == 14  # year, month and collaborator folded away
-    rows = fine.withColumn("_at", F.explode(F.when(client_set, by_client).otherwise(others)))
+    placed = fine.withColumn("_at", F.explode(F.when(client_set, by_client).otherwise(others)))
     complete = (
         F.when(F.col("_at.level") == "month", F.col("_at.year").isNotNull() & F.col("_at.month").isNotNull())
         .when(F.col("_at.level") == "year", F.col("_at.year").isNotNull())
@@ -59,12 +68,12 @@ def _levels(facts: DataFrame) -> DataFrame:
         .otherwise(F.col("_at.name").isNotNull())
     )
     # A profile of nothing still has its totals and its counts of names, which are zero.
-    zeros = facts.sparkSession.range(1).select(
+    zeros = rows.sparkSession.range(1).select(
         F.explode(F.array(*[level(name) for name in ("all", "client", "collaborator")])).alias("_at"),
         *[F.lit(0).cast(kind).alias(name) for name, kind in (("records", "long"), ("amounts", "long"))],
     )
     return (
-        rows.where(complete)
+        placed.where(complete)
         .unionByName(zeros, allowMissingColumns=True)
         .groupBy("_at")
         .agg(
@@ -97,7 +106,14 @@ def data_profile(facts: DataFrame, amounts: DataFrame | None = None, exact_media
     does not repeat the join.
     """
     amounts = facts if amounts is None else amounts
-    levels = _levels(facts)
+    middle = median(amounts, "amount") if exact_median else amounts.agg(
+        F.percentile_approx("amount", 0.5, 10000).cast("double").alias("median")
+    )
+    return _sections(_levels(facts, row_sums()), middle)
+
+
+def _sections(levels: DataFrame, middle: DataFrame) -> DataFrame:
+    """The profile from the measures of all levels and the one row of the median."""
     at, name = F.col("level"), F.col("name")
     month_key = F.format_string("%04d-%02d", "year", "month")
     year_key = F.format_string("%04d", "year")
@@ -151,9 +167,6 @@ def data_profile(facts: DataFrame, amounts: DataFrame | None = None, exact_media
         _entry("identificados", F.lit("colaboradores"), F.col("n"), at == "collaborator"),
         spare,
     )
-    middle = median(amounts, "amount") if exact_median else amounts.agg(
-        F.percentile_approx("amount", 0.5, 10000).cast("double").alias("median")
-    )
     middle = middle.select(
         F.lit("total").alias("section"), F.lit("mediana").alias("key"), F.col("median").alias("value")
     )

@@ -88,7 +88,19 @@ def median(df: DataFrame, column: str) -> DataFrame:
     totals = counts.agg(
         F.struct(F.sum("_n").alias("n"), F.coalesce(F.sum(F.when(F.col("_side") < 0, F.col("_n"))), F.lit(0)).alias("below"))
     ).scalar()
-    ranked = running_totals(counts.where("_side = 0").select("_value", "_n"), "_value", ["_n"]).withColumn("_totals", totals)
+    return _middle(counts.where("_side = 0").select("_value", "_n"), totals)
+
+
+def counted_median(counts: DataFrame, column: str, count: str) -> DataFrame:
+    """One row, one column: the interpolated median of values that come with their numbers; nulls left out."""
+    known = counts.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.sum(count).alias("_n"))
+    totals = known.agg(F.struct(F.sum("_n").alias("n"), F.lit(0).cast("long").alias("below"))).scalar()
+    return _middle(known, totals)
+
+
+def _middle(counts: DataFrame, totals: Column) -> DataFrame:
+    """The median out of (_value, _n) around the middle, given how many values there are and how many are below these."""
+    ranked = running_totals(counts, "_value", ["_n"]).withColumn("_totals", totals)
     n, upto = F.col("_totals.n"), F.col("cum__n") + F.col("_totals.below")
     value = F.col("_value").cast("double")
 

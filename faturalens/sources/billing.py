@@ -82,12 +82,12 @@ def read_folder(
     reader = reader.option("ignoreCorruptFiles", str(skip_unreadable).lower())
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(folder)
+    return reader.load(folder if isinstance(folder, str) else list(folder))
 
 
 # --- tolerant reading ---------------------------------------------------------------------
-def scan_billing(spark: SparkSession, folder: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Every row of a folder under canonical names and types, with `_file`, `_row` and `_rejects`.
+def scan_billing(spark: SparkSession, folder: str | list[str], fmt: str = "parquet", **options) -> DataFrame:
+    """Every row of a folder, or of a list of files, under canonical names and types, with `_file`, `_row` and `_rejects`.
 
     A cell that isn't of its column's type is null and named in `_rejects` with its value; a
     row with too few or too many fields, or that isn't JSON, is one reject without a column.
@@ -99,7 +99,8 @@ def scan_billing(spark: SparkSession, folder: str, fmt: str = "parquet", **optio
         tables = csv_tables(spark, folder, **options)
     else:
         try:
-            tables = [read_folder(spark, folder, fmt, **options)]
+            own = folder if isinstance(folder, str) else [glob_free(path) for path in folder]
+            tables = [read_folder(spark, own, fmt, **options)]
         except READ_ERRORS:
             if fmt not in ("parquet", "orc"):
                 raise
@@ -121,8 +122,8 @@ def reject_rows(scan: DataFrame) -> DataFrame:
     )
 
 
-def read_billing(spark: SparkSession, folder: str, fmt: str = "parquet", **options) -> DataFrame:
-    """The billing table of a folder, whatever the order, spelling, case and types of each file's columns.
+def read_billing(spark: SparkSession, folder: str | list[str], fmt: str = "parquet", **options) -> DataFrame:
+    """The billing table of a folder, or of a list of files, whatever the order, spelling, case and types of each file's columns.
 
     CSV files are grouped by header, since Spark matches their columns by place. Other files are
     read at once; only where their schemas don't go together are they grouped by schema. The
@@ -131,7 +132,7 @@ def read_billing(spark: SparkSession, folder: str, fmt: str = "parquet", **optio
     return good_rows(scan_billing(spark, folder, fmt, **options))
 
 
-def csv_tables(spark: SparkSession, folder: str, pattern: str | None = None, schema: str | None = None, **options) -> list[DataFrame]:
+def csv_tables(spark: SparkSession, folder: str | list[str], pattern: str | None = None, schema: str | None = None, **options) -> list[DataFrame]:
     """One table of text columns per different header line of the CSV files."""
     separator = options.get("sep", options.get("delimiter", ","))
     quote = options.get("quote", '"')
@@ -143,7 +144,9 @@ def csv_tables(spark: SparkSession, folder: str, pattern: str | None = None, sch
         names = next(csv.reader([group["header"]], delimiter=separator, quotechar=quote))
         refuse_collisions(names, where=f" in {group['paths'][0]}")
         kind = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))] + [T.StructField(CORRUPT, T.StringType())])
-        rows = spark.read.schema(kind).options(**set_to).option("basePath", folder).csv([glob_free(path) for path in group["paths"]])
+        reader = spark.read.schema(kind).options(**set_to)
+        reader = reader.option("basePath", folder) if isinstance(folder, str) else reader
+        rows = reader.csv([glob_free(path) for path in group["paths"]])
         file = F.col("_metadata.file_path").alias("_file")
         # Columns behind the last one are those of the folders' names.
         folders = rows.columns[len(names) + 1 :]
@@ -152,13 +155,15 @@ def csv_tables(spark: SparkSession, folder: str, pattern: str | None = None, sch
 
 
 def schema_tables(
-    spark: SparkSession, folder: str, fmt: str, pattern: str | None = None, skip_unreadable: bool = True, schema: str | None = None, **options
+    spark: SparkSession, folder: str | list[str], fmt: str, pattern: str | None = None, skip_unreadable: bool = True, schema: str | None = None, **options
 ) -> list[DataFrame]:
     """One table per group of files whose schemas go together."""
-    paths = [row["path"] for row in list_files(spark, folder, pattern or EXTENSIONS[fmt]).select("path").collect()]
+    paths, base = folder, {}
+    if isinstance(folder, str):
+        paths, base = [row["path"] for row in list_files(spark, folder, pattern or EXTENSIONS[fmt]).select("path").collect()], {"basePath": folder}
     groups = schema_groups(spark, paths, fmt, skip_unreadable, **options)
     return [
-        read_folder(spark, [glob_free(path) for path in own], fmt, pattern, kind, skip_unreadable, basePath=folder, **options)
+        read_folder(spark, [glob_free(path) for path in own], fmt, pattern, kind, skip_unreadable, **base, **options)
         for kind, own in groups
     ]
 

@@ -56,7 +56,7 @@ def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return
 
 
-def header_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def header_lines(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
     """(header, files, paths): every different first line of the folder's files, with the files that begin with it.
 
     Each file is a partition, which ends at its first line; a task opens a group of files one after
@@ -64,7 +64,8 @@ def header_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """
     wide = {"spark__sql__files__maxPartitionBytes": ONE_FILE, "spark__sql__files__openCostInBytes": ONE_FILE}
     with settings(spark, **wide, spark__sql__execution__arrow__maxRecordsPerBatch=str(LINES_AT_ONCE)):
-        lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+        where = folder if isinstance(folder, str) else [glob_free(path) for path in folder]
+        lines = spark.read.option("pathGlobFilter", pattern).text(where)
         first = lines.select("value", F.col("_metadata.file_path").alias("path")).mapInArrow(first_line, "value string, path string")
         grouped = first.coalesce(4 * spark.sparkContext.defaultParallelism).groupBy(F.ltrim("value", F.lit("﻿")).alias("header"))
         found = grouped.agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list(decoded(F.col("path")))).alias("paths"))

@@ -7,9 +7,11 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from faturalens.functions import fixed, text as tx
+from faturalens.functions import jsontext as jt
 from faturalens.functions.jsontext import parse_strict
-from faturalens.operators import cited, payload as pl, selection as sel, validation as val
+from faturalens.operators import cited, payload as pl, prompts as pr, selection as sel, validation as val
 from faturalens.operators.warninglog import with_text_figures
+from faturalens.plans import profile as prof
 from faturalens.sources import reports as rep
 
 
@@ -297,3 +299,64 @@ def test_lines_keep_their_order(spark, tmp_path):
     rep.write_lines(lines, str(tmp_path / "l"), ["part"])
     files = sorted((tmp_path / "l").glob("part-*.txt"))
     assert "".join(f.read_text() for f in files).split() == " ".join(f"line {i:04d}" for i in range(500)).split()
+
+
+# --- prompts and report choice -----------------------------------------------------------
+def test_an_answer_beyond_the_limit_has_its_own_error(spark):
+    """140 MB of JSON: neither invalid nor without an object."""
+    large = F.concat(F.lit('{"a":['), F.repeat(F.lit('"' + "x" * 100 + '",'), F.lit(1_400_000)), F.lit("1]}"))
+    small = F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), F.lit(1_000_000)), F.lit('"}'))
+    df = spark.range(2).select("id", F.when(F.col("id") == 0, large).otherwise(small).alias("text"))
+    got = {r["id"]: r["json_error"] for r in jt.with_json_object(df).select("id", "json_error").collect()}
+    assert got == {0: fixed.JSON_ERRORS["too_large"], 1: None}
+
+
+def payload_rows(spark):
+    rows = [("r1", "estrategico", "c"), ("r1", "financeiro", 'a "q" {insights}'), ("r2", "operacional", None), ("r3", "outra", "x")]
+    return spark.createDataFrame(rows, "run_id string, area string, body string")
+
+
+def test_insights_of_a_run_are_one_document(spark):
+    documents = pr.insights_documents(payload_rows(spark))
+    prompts = pr.manager_prompts(documents, F.lit("Antes {x}\n{insights}\nDepois"))
+    got = {r["run_id"]: r for r in prompts.collect()}
+    assert set(got) == {"r1", "r2"}
+    whole = json.loads(got["r1"]["insights"])
+    assert list(whole) == fixed.AREAS and whole["operacional"] is None
+    assert whole["financeiro"] == {"area": "financeiro", "body": 'a "q" {insights}'} and whole["estrategico"]["body"] == "c"
+    assert json.loads(got["r2"]["insights"])["operacional"] == {"area": "operacional", "body": None}
+    assert got["r1"]["prompt"] == "Antes {x}\n" + got["r1"]["insights"] + "\nDepois"
+    with pytest.raises(Exception, match="insights"):
+        pr.manager_prompts(documents, F.lit("sem marca")).collect()
+
+
+def test_area_prompts_hold_the_bounded_sections(spark, facts):
+    profile = prof.data_profile(facts)
+    templates = spark.createDataFrame([("financeiro", "F:\n{dados}\n."), ("operacional", "{dados}")], "area string, template string")
+    got = {r["area"]: r["prompt"] for r in pr.area_prompts(templates, profile).collect()}
+    lines = got["operacional"].split("\n")
+    assert got["financeiro"] == "F:\n" + got["operacional"] + "\n."
+    assert lines[:3] == ["### Período", "- Anos: [2025, 2026]", "- Meses: [1, 2, 4]"]
+    assert "### Clientes (4 identificados)" in lines and lines.index("### Colaboradores (4 identificados)") == lines.index("### Clientes (4 identificados)") + 1
+    assert lines[lines.index("### Faturamento por Ano (soma)") + 1] == "- 2025 R$ 330.00"
+    top = lines.index("### Top clientes por faturamento (até 15)")
+    assert lines[top + 1] == "- Alfa R$ 217.00" and lines[top + 4] == "- Nula R$ 0.00"
+    with pytest.raises(Exception, match="dados"):
+        pr.area_prompts(spark.createDataFrame([("x", "sem marca")], "area string, template string"), profile).collect()
+
+
+def test_report_choice(spark):
+    whole = "\n".join(f"{level} {icon} {title}" for level, icon, title in fixed.REPORT_HEADINGS)
+    rows = [(0, whole, None), (1, "x", whole), (2, "x", "y"), (3, "x", None), (4, None, whole), (5, "", whole), (6, " ", whole)]
+    df = spark.createDataFrame(rows, "i int, first string, retry string").withColumn("asked", pr.retry_prompt(F.lit("P"), F.col("first")))
+    got = {r["i"]: (r["source"], r["markdown"], r["asked"]) for r in pr.choose_report(df).collect()}
+    note, asked = fixed.REPORT_BAD_FORMAT, "P" + fixed.REPORT_RETRY
+    assert got == {
+        0: ("first", whole, None), 1: ("retry", whole, asked + "x"), 2: ("note", note + "x", asked + "x"), 3: ("note", note + "x", asked + "x"),
+        4: ("notice", fixed.REPORT_MISSING, None), 5: ("notice", fixed.REPORT_MISSING, None), 6: ("retry", whole, asked + " "),
+    }
+
+
+def test_later_attempts_are_reminded(spark):
+    got = spark.range(1, 3).select(pr.attempt_prompt(F.lit("P"), F.col("id")).alias("p")).collect()
+    assert [r["p"] for r in got] == ["P", "P" + fixed.CONTRACT_REMINDER]
