@@ -41,27 +41,6 @@ def parse_number(written: Column) -> Column:
     )
 
 
-def cited_check(responses: DataFrame, numbers: Column, tolerance: float = fixed.CITED_TOLERANCE) -> DataFrame:
-    """Add how many figures a text cites and how many of them the profile has.
-
-    `numbers` is the bounded array of `plans.profile.fact_numbers`, so the comparison stays
-    inside the row.
-    """
-    known = F.col("_numbers")
-
-    def near(figure: Column) -> Column:
-        return F.exists(known, lambda v: F.abs(figure - v) <= F.abs(v) * tolerance)
-
-    return (
-        responses.withColumn("_numbers", numbers)
-        .withColumn("_figures", F.transform(cited_numbers(F.col("text")), parse_number))
-        .withColumn("cited", F.coalesce(F.size("_figures"), F.lit(0)))
-        .withColumn("verified", F.size(F.filter("_figures", near)))
-        .withColumn("all_verified", F.col("cited") == F.col("verified"))
-        .drop("_numbers", "_figures")
-    )
-
-
 # Bins of the logarithm, narrower than the span that the tolerance allows.
 BIN = 0.004
 ZERO_BIN = -(10**9)

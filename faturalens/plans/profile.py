@@ -173,18 +173,6 @@ def _sections(levels: DataFrame, middle: DataFrame) -> DataFrame:
     return plain.unionByName(by_revenue).unionByName(by_records).unionByName(counted).unionByName(middle)
 
 
-def fact_numbers(profile: DataFrame) -> DataFrame:
-    """One row: the distinct numbers of the profile, the per-name lists left out.
-
-    What is left is bounded by the calendar and by the length of the top lists.
-    """
-    return (
-        profile.where(~F.col("section").isin(NAME_SECTIONS + PERIOD_SECTIONS))
-        .where("value is not null")
-        .agg(F.sort_array(F.collect_set("value")).alias("numbers"))
-    )
-
-
 # --- fixed values: headings of the text form, in order -------------------------------
 HEADINGS = [
     ("periodo", "### Período"),

@@ -242,9 +242,10 @@ def test_number_reading(spark):
     assert column(spark, written, cited.parse_number(F.col("text"))) == [1234.5, 1234.5, 12.5, 12.5, 1234.0, 1234.0, None, 1234567.0]
 
 
-def test_cited_check(spark):
+def test_cited_numbers_of_a_small_profile(spark):
+    profile = spark.createDataFrame([("s", "a", 1004.0), ("s", "b", 12.5)], "section string, key string, value double")
     df = spark.createDataFrame([("a", "R$ 1.000,00 e 12,5%. R$ 77"), ("b", "nada")], "response_id string, text string")
-    got = {r.response_id: (r.cited, r.verified, r.all_verified) for r in cited.cited_check(df, F.array(F.lit(1004.0), F.lit(12.5))).collect()}
+    got = {r.response_id: (r.cited, r.verified, r.all_verified) for r in cited.cited_in_profile(df, profile).collect()}
     assert got == {"a": (3, 2, False), "b": (0, 0, True)}
 
 
@@ -255,8 +256,9 @@ def test_cited_in_profile_equals_all_pairs(spark):
     figures = [0.0] + [round(abs(v or 1) * source.choice([1, 1.004, 1.005, 1.0051, 0.996, 0.995, 0.9949, 1.02]), 4) for v in values] + [round(10 ** source.uniform(-2, 7), 4) for _ in range(200)]
     texts = ["R$ " + " R$ ".join(f"{f:.4f}" for f in figures[i : i + 7]) for i in range(0, len(figures), 7)] + ["nada", "R$ 1.2.3"]
     df = spark.createDataFrame(list(enumerate(texts)), "response_id int, text string")
-    numbers = F.array(*[F.lit(v) for v in values if v is not None])
-    want = {r.response_id: (r.cited, r.verified) for r in cited.cited_check(df, numbers).collect()}
+    shown = [[float(f"{f:.4f}") for f in figures[i : i + 7]] for i in range(0, len(figures), 7)]
+    near = lambda f: any(abs(f - v) <= abs(v) * fixed.CITED_TOLERANCE for v in values if v is not None)
+    want = {i: (len(own), sum(map(near, own))) for i, own in enumerate(shown)} | {len(shown): (0, 0), len(shown) + 1: (1, 0)}
     got = {r.response_id: (r.cited, r.verified) for r in cited.cited_in_profile(df, profile).collect()}
     assert got == want
 
