@@ -19,7 +19,8 @@ Each document gets class_id, the smallest doc_id of its class, and n_links, the
 documents at the threshold or above, equal ones included. A null or empty text has no set: it is a
 class of its own without links, as is every text that is like no other. Documents without an
 id count as links and get the class of their text, null if no member has an id. Repeated rows are
-copies. An empty table gives an empty one; only doc_id and text are read.
+copies. Texts of any length are read whole: a long one is a large set, compared block by block like
+any other. An empty table gives an empty one; only doc_id and text are read.
 
 The exact check of a group of g different near copies takes g * g / 2 comparisons in blocks of
 `BLOCK`, spread over as many tasks: as many as the group has links.

@@ -15,6 +15,7 @@ are not held out are used, drawn by hash.
 A null or empty text has no words and fails the base rules; a text without labels to learn from
 is kept if it passes them. Lines without a word are left out of the sequence. Repeated rows are
 judged alike; an empty table gives an empty one; of the documents only doc_id and text are read.
+Texts of any length are one sequence of all their lines; one without a line break is one line.
 """
 
 from __future__ import annotations

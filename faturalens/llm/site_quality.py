@@ -12,7 +12,8 @@ was learned from doesn't count toward its own path. Site tables join as tables o
 
 A null or empty text has the figures of no line. Null hosts and paths are sites like others. Without
 labels of both kinds all scores are 0.5. Several labels of one id all count; rows without an id
-are never learned from. Repeated rows are scored alike; an empty table gives an empty one.
+are never learned from. Repeated rows are scored alike; an empty table gives an empty one. Texts of
+any length are read whole; their figures are shares.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ curve in that sum, fitted to the labels, is the document's score.
 Learning uses at most about `MOST_LABELLED` labelled documents that are not held out, drawn by
 hash. A null or empty text has no passage and the score of one without passages. Without labels
 every score is 0. Labels that contradict each other for one id all count; rows without an id are
-never learned from. Repeated rows are scored alike; an empty table gives an empty one; of the
+never learned from. Texts of any length are scanned whole, in time linear in it. Repeated rows are scored
+alike; an empty table gives an empty one; of the
 documents only doc_id and text are read.
 """
 

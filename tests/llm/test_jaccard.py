@@ -101,3 +101,16 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    """A megabyte of words twice with one changed, a megabyte without a blank twice, and one that shares a tenth."""
+    common.prepare(spark)
+    source = random.Random(6)
+    long = [f"w{source.randint(0, 50_000)}" for _ in range(150_000)]
+    near = long[:70_000] + ["other"] + long[70_001:]
+    rows = [(3, " ".join(long)), (1, " ".join(near)), (4, "x" * 1_000_000), (2, "x" * 1_000_000), (5, " ".join(long[:15_000]))]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.classes(data).select("doc_id", "class_id", "n_links").collect()) == [
+        (1, 1, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1), (5, 5, 0),
+    ]

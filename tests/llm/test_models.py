@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -130,6 +131,41 @@ def test_moment_root():
     assert 0.9 * np.exp(-root) + 0.1 * np.exp(2 * root) == pytest.approx(1, abs=1e-6)
 
 
+def test_log_odds_by_hand(docs, labels):
+    """Counts, priors, deviations, and counts of different surroundings, unit by unit in plain Python."""
+    model = toxicity.learn(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    marks = {r["doc_id"]: bool(r["toxic"]) for r in labels.where("toxic IS NOT NULL").collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    counts, words = {False: Counter(), True: Counter()}, Counter()
+    around = {False: set(), True: set()}
+    for doc, toxic in marks.items():
+        tokens = toxicity.tokens_of(texts[doc])
+        words[toxic] += len(tokens)
+        padded = ["", *tokens, ""]
+        for i, token in enumerate(tokens, 1):
+            for unit in toxicity.units_of(token):
+                counts[toxic][unit] += 1
+                around[toxic].add((unit, " ".join(padded[i - 1 : i + 2])))
+
+    def outstanding(clean, toxic):
+        whole, found = toxicity.PRIOR_SHARE * (words[False] + words[True]), {}
+        for unit in set(clean) | set(toxic):
+            prior = toxicity.PRIOR_SHARE * (clean[unit] + toxic[unit])
+            odds = [np.log((n[unit] + prior) / (words[which] + whole - n[unit] - prior)) for which, n in ((True, toxic), (False, clean))]
+            score, deviation = odds[0] - odds[1], np.sqrt(1 / (toxic[unit] + prior) + 1 / (clean[unit] + prior))
+            if score >= toxicity.LEAST_SCORE and score / deviation >= toxicity.LEAST_Z:
+                found[unit] = (score, score / deviation)
+        return found
+
+    first = outstanding(counts[False], counts[True])
+    once = {toxic: Counter(unit for unit, _ in around[toxic] if unit in first) for toxic in (False, True)}
+    want = outstanding(once[False], once[True])
+    assert set(model.units) == set(want) and want
+    assert all(model.units[unit] == pytest.approx(want[unit]) for unit in want)
+    share = sum(once[False][unit] for unit in want) / words[False]
+    assert model.step == pytest.approx(np.log((1 - toxicity.PASSAGE_RATE) / (1 - min(share, toxicity.PASSAGE_RATE / 2))))
+
+
 def test_toxicity_on_held_out_documents(spark, docs, labels):
     model = toxicity.learn(docs, labels)
     rows = toxicity.score(docs, model).where("held_out").join(labels, "doc_id").collect()

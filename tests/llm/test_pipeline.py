@@ -44,8 +44,9 @@ def test_the_mix_and_its_tokens(stages):
 
 
 def test_odd_and_empty_tables(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
-    odd = spark.createDataFrame([(1, None, None, None, None, "x"), (None, "Hello there you", "en", None, 3, "x")], schema)
+    clashing = "ids string, mix_size string, mix_row string, class_id string, score string, n_tokens string, held_out string, words string"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {clashing}"
+    odd = spark.createDataFrame([(1, None, None, None, None, *"abcdefgh"), (None, "Hello there you", "en", None, 3, *"abcdefgh")], schema)
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, FOLDER))
