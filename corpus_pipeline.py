@@ -15,7 +15,7 @@ from faturalens.llm import bpe_encode, common, jaccard_join, language, mixing, t
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those that are `und` go."""
+    """Documents in a known language: texts without a letter go, and those whose language scores below `language.LEAST_SCORE`."""
     common.prepare(spark)
     return language.accepted(docs, language.learn(docs))
 
