@@ -28,7 +28,6 @@ BLANK = b" \t\r\n\xef\xbb\xbf"
 LIST, OBJECT, END_OBJECT, END_LIST, QUOTE = map(ord, '[{}]"')
 # Up to so many ranges (some 100 bytes each) are sent to every task; more are joined by a shuffle.
 MOST_SENT = 200_000
-RANGE = ["file", "start", "size"]
 SUMMARY = (
     "file string, start long, size long, quoted boolean, ends_quoted boolean, rise long, bytes long, mark string, "
     "opened array<struct<depth:long,object:boolean,wanted:boolean>>"
