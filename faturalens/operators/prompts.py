@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faturalens.functions import fixed
+from faturalens.functions.once import with_once
 from faturalens.functions.text import fill_template, is_blank
 from faturalens.operators.validation import missing_headings
 from faturalens.plans.profile import NAME_SECTIONS, profile_lines
@@ -85,4 +86,5 @@ def choose_report(reports: DataFrame, first: str = "first", retry: str = "retry"
         .when(F.col("source") == "retry", F.col(retry))
         .otherwise(F.concat(F.lit(fixed.REPORT_BAD_FORMAT), F.col(first)))
     )
-    return reports.withColumn("source", source).withColumn("markdown", text)
+    # Each text is searched once, whatever asks for the source.
+    return with_once(reports, source=source).withColumn("markdown", text)

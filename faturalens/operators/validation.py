@@ -249,24 +249,35 @@ def feedback(verdict: DataFrame, info: Column) -> DataFrame:
 
 
 # --- report sections ----------------------------------------------------------------------------------
+def heading_line(level: str, icon: str, title: str) -> str:
+    return rf"{level}\s+{icon}\s+{title}"
+
+
 def heading_pattern(level: str, icon: str, title: str) -> str:
-    return rf"^{level}\s+{icon}\s+{title}\s*$"
+    return rf"^{heading_line(level, icon, title)}\s*$"
 
 
 def missing_headings(markdown: Column) -> Column:
-    """Required headings without a line of their own, in order."""
-    checks = [
-        F.when(
-            ~F.rlike(F.coalesce(markdown, F.lit("")), F.lit(fixed.regex(heading_pattern(*heading), "mUd"))),
-            F.lit(heading[2]),
-        )
-        for heading in fixed.REPORT_HEADINGS
-    ]
-    return F.array_compact(F.array(*checks))
+    """Required headings without a line of their own, in order.
+
+    One pass over the text finds the lines of all headings. None of them can begin inside another,
+    since the mark that a line begins with stands nowhere else in it.
+    """
+    any_heading = "|".join(heading_line(*heading) for heading in fixed.REPORT_HEADINGS)
+    found = F.regexp_extract_all(F.coalesce(markdown, F.lit("")), F.lit(fixed.regex(rf"^({any_heading})\s*$", "mUd")), F.lit(1))
+
+    def missing(lines: Column) -> Column:
+        def absent(title: str) -> Column:
+            # No title is the end of another.
+            return ~F.exists(lines, lambda line: F.endswith(line, F.lit(title)))
+
+        return F.array_compact(F.array(*[F.when(absent(title), F.lit(title)) for _, _, title in fixed.REPORT_HEADINGS]))
+
+    return let(found, missing)
 
 
 def report_sections(reports: DataFrame, text: str = "markdown") -> DataFrame:
     """Add the missing headings and whether the report is complete."""
-    return reports.withColumn("missing", missing_headings(F.col(text))).withColumn(
+    return with_once(reports, missing=missing_headings(F.col(text))).withColumn(
         "complete", ~is_blank(F.col(text)) & (F.size("missing") == 0)
     )

@@ -11,7 +11,7 @@ from faturalens.functions import jsontext as jt
 from faturalens.functions.jsontext import parse_strict
 from faturalens.operators import cited, payload as pl, prompts as pr, selection as sel, validation as val
 from faturalens.operators.warninglog import with_text_figures
-from faturalens.plans import profile as prof
+from faturalens.plans import driver_tables, profile as prof
 from faturalens.sources import reports as rep
 
 
@@ -362,3 +362,28 @@ def test_report_choice(spark):
 def test_later_attempts_are_reminded(spark):
     got = spark.range(1, 3).select(pr.attempt_prompt(F.lit("P"), F.col("id")).alias("p")).collect()
     assert [r["p"] for r in got] == ["P", "P" + fixed.CONTRACT_REMINDER]
+
+
+def test_headings_are_found_in_one_pass_as_one_by_one(spark):
+    source, titles = random.Random(5), fixed.REPORT_HEADINGS
+    blanks = [" ", "  ", "\n", " \n\n ", " ", "\t", ""]
+    pieces = [f"{level}{source.choice(blanks)}{icon}{source.choice(blanks)}{title}{source.choice(blanks)}" for level, icon, title in titles * 6]
+    pieces += [f"# {title}" for _, _, title in titles] + ["texto", "# 🧭 Plano Executivo de Dashboard e mais", "\r", "x## 📈 KPIs Prioritários"]
+    texts = [None, ""] + [source.choice(["\n", "\n\n", "\r\n", " "]).join(source.choices(pieces, k=source.randint(1, 14))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, markdown string")
+    one_by_one = [
+        F.when(~F.rlike(F.coalesce("markdown", F.lit("")), F.lit(fixed.regex(val.heading_pattern(*h), "mUd"))), F.lit(h[2])) for h in titles
+    ]
+    got = df.select(val.missing_headings(F.col("markdown")).alias("got"), F.array_compact(F.array(*one_by_one)).alias("want")).collect()
+    assert all(r.got == r.want for r in got) and len({tuple(r.got) for r in got}) > 20
+
+
+def test_report_texts_are_spread_and_searched_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"c{i}", 1.5, "S") for i in range(20)], "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = driver_tables.reports(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and got.count() == 20
+    chosen = pr.choose_report(got.select(F.col("markdown").alias("first"), F.upper("markdown").alias("retry")))
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    # One search of each text, of all headings at once.
+    assert plan.count("Objetivo do Dashboard|") == 2
