@@ -1,8 +1,8 @@
 """The data profile: every aggregate the reports are allowed to quote.
 
 One pass over the billing table feeds all sums: two grouping sets are aggregated once, and
-the finer sections are rolled up from that result. All parts carry the same measures, so
-the shuffle of the first pass is shared. Only the median reads the amounts again.
+the finer sections are rolled up from that result. That is written, one row per name and month,
+and all sections are read from it. Only the median reads the amounts again.
 
 Rows are `(section, key, value)`; lists of names are rows too, never one long text.
 """
@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faturalens.functions.text import fill_template, listing, money
 from faturalens.plans.running import median
+from faturalens.plans.shared import written
 
 TOP = 15
-MEASURES = ["records", "revenue", "amounts", "lowest", "highest", "people"]
 NAME_SECTIONS = ["clientes", "colaboradores"]
 PERIOD_SECTIONS = ["anos", "meses"]
 
@@ -36,11 +36,18 @@ def part_sums() -> dict[str, Column]:
     return {name: (F.min if name == "lowest" else F.max if name == "highest" else F.sum)(name) for name in row_sums()}
 
 
-def _levels(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Measures per month, year, client, collaborator and overall."""
-    fine = rows.groupingSets(
+CLIENT_SET = 14  # year, month and collaborator folded away
+
+
+def _fine(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Measures per year, month and collaborator, and per client; `_set` tells them apart."""
+    return rows.groupingSets(
         [["year", "month", "collaborator"], ["client"]], "year", "month", "collaborator", "client"
-    ).agg(F.grouping_id().alias("_set"), *[value.alias(name) for name, value in sums.items()])
+    ).agg(F.grouping_id().cast("int").alias("_set"), *[value.alias(name) for name, value in sums.items()])
+
+
+def _levels(fine: DataFrame) -> DataFrame:
+    """Measures per month, year, client, collaborator and overall, written; `fine` has each of its keys once."""
 
     def level(name: str, year=None, month=None, key=None) -> Column:
         return F.struct(
@@ -58,8 +65,7 @@ def _levels(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
         level("collaborator", key="collaborator"),
         level("all"),
     )
-    client_set = F.col("_set") == 14  # year, month and collaborator folded away
-    placed = fine.withColumn("_at", F.explode(F.when(client_set, by_client).otherwise(others)))
+    placed = fine.withColumn("_at", F.explode(F.when(F.col("_set") == CLIENT_SET, by_client).otherwise(others)))
     complete = (
         F.when(F.col("_at.level") == "month", F.col("_at.year").isNotNull() & F.col("_at.month").isNotNull())
         .when(F.col("_at.level") == "year", F.col("_at.year").isNotNull())
@@ -68,11 +74,11 @@ def _levels(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
         .otherwise(F.col("_at.name").isNotNull())
     )
     # A profile of nothing still has its totals and its counts of names, which are zero.
-    zeros = rows.sparkSession.range(1).select(
+    zeros = fine.sparkSession.range(1).select(
         F.explode(F.array(*[level(name) for name in ("all", "client", "collaborator")])).alias("_at"),
         *[F.lit(0).cast(kind).alias(name) for name, kind in (("records", "long"), ("amounts", "long"))],
     )
-    return (
+    return written(
         placed.where(complete)
         .unionByName(zeros, allowMissingColumns=True)
         .groupBy("_at")
@@ -109,7 +115,7 @@ def data_profile(facts: DataFrame, amounts: DataFrame | None = None, exact_media
     middle = median(amounts, "amount") if exact_median else amounts.agg(
         F.percentile_approx("amount", 0.5, 10000).cast("double").alias("median")
     )
-    return _sections(_levels(facts, row_sums()), middle)
+    return _sections(_levels(_fine(facts, row_sums())), middle)
 
 
 def _sections(levels: DataFrame, middle: DataFrame) -> DataFrame:
@@ -144,28 +150,17 @@ def _sections(levels: DataFrame, middle: DataFrame) -> DataFrame:
         order = Window.partitionBy("level").orderBy(F.desc(measure), "name")
         return levels.where(at.isin(wanted) & name.isNotNull()).withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {TOP}")
 
-    # Never emitted. It keeps every measure in use, so that the parts do not prune the first
-    # aggregation in different ways and its shuffle stays one.
-    spare = _entry("", name, sum((F.col(m) for m in MEASURES[1:]), F.col(MEASURES[0])), at == "")
     by_revenue = _entries(
         first("revenue", ["client", "collaborator"]),
         _entry("top_clientes", name, F.col("revenue"), at == "client"),
         _entry("top_colaboradores", name, F.col("revenue"), at == "collaborator"),
-        spare,
-    )
-    by_records = _entries(
-        first("records", ["collaborator"]), _entry("top_registros", name, F.col("records"), F.lit(True)), spare
-    )
-    counts = (
-        levels.where(at.isin("client", "collaborator"))
-        .groupBy("level")
-        .agg(F.count("name").alias("n"), F.max("name").alias("name"), *[F.max(m).alias(m) for m in MEASURES])
     )
+    by_records = _entries(first("records", ["collaborator"]), _entry("top_registros", name, F.col("records"), F.lit(True)))
+    counts = levels.where(at.isin("client", "collaborator")).groupBy("level").agg(F.count("name").alias("n"))
     counted = _entries(
         counts,
         _entry("identificados", F.lit("clientes"), F.col("n"), at == "client"),
         _entry("identificados", F.lit("colaboradores"), F.col("n"), at == "collaborator"),
-        spare,
     )
     middle = middle.select(
         F.lit("total").alias("section"), F.lit("mediana").alias("key"), F.col("median").alias("value")

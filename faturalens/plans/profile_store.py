@@ -1,7 +1,8 @@
 """The data profile kept up to date: partial sums of each batch of files, put together when asked.
 
-A store has one folder per batch under each of three tables. `parts` holds the measures per year, month, client and
-collaborator, `amounts` how often each amount stands in the batch, for the exact median, and `files` what
+A store has one folder per batch under each of three tables. `parts` holds the measures per year, month and collaborator
+and those per client, which all sections of the profile are rolled up from (batches of before have them per all four
+keys, and are read as well), `amounts` how often each amount stands in the batch, for the exact median, and `files` what
 was read. All of it can be merged by sums, counts, least and largest values; so new files are
 read alone, and rows that were read before never again. A batch that is added twice
 under one name replaces itself.
@@ -12,11 +13,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faturalens.plans.profile import _levels, _sections, part_sums, row_sums
+from faturalens.plans.profile import _fine, _levels, _sections, part_sums, row_sums
 from faturalens.plans.running import counted_median
 from faturalens.sources import billing
 
-KEYS = ["year", "month", "client", "collaborator"]
+KEYS = ["_set", "year", "month", "collaborator", "client"]
 TABLES = ["parts", "amounts", "files"]
 
 
@@ -34,7 +35,7 @@ def read_parts(spark: SparkSession, path: str, table: str, kind: str) -> DataFra
 
 def add_batch(facts: DataFrame, path: str, batch: str) -> None:
     """Sum the billing rows of one batch up and keep that under its name."""
-    parts = facts.groupBy(*KEYS).agg(*[value.alias(name) for name, value in row_sums().items()])
+    parts = _fine(facts, row_sums())
     counted = facts.where("amount IS NOT NULL").groupBy("amount").agg(F.count(F.lit(1)).alias("n"))
     parts.write.mode("overwrite").parquet(f"{_folder(path, 'parts')}/batch={batch}")
     counted.write.mode("overwrite").parquet(f"{_folder(path, 'amounts')}/batch={batch}")
@@ -59,11 +60,14 @@ def add_new_files(spark: SparkSession, folder: str, path: str, batch: str, fmt:
     return len(fresh)
 
 
-PART_KIND = "year int, month int, client string, collaborator string, records long, revenue decimal(28,4), amounts long, lowest decimal(18,4), highest decimal(18,4)"
+PART_KIND = "_set int, year int, month int, collaborator string, client string, records long, revenue decimal(28,4), amounts long, lowest decimal(18,4), highest decimal(18,4)"
 
 
 def stored_profile(spark: SparkSession, path: str) -> DataFrame:
     """The profile of everything that was added, out of the partial sums alone."""
     parts = read_parts(spark, path, "parts", PART_KIND)
+    # Rows without a set are of all four keys.
+    sums = parts.where("_set IS NOT NULL").unionByName(_fine(parts.where("_set IS NULL").drop("_set"), part_sums()))
+    fine = sums.groupBy(*KEYS).agg(*[value.alias(name) for name, value in part_sums().items()])
     amounts = read_parts(spark, path, "amounts", "amount decimal(18,4), n long")
-    return _sections(_levels(parts, part_sums()), counted_median(amounts, "amount", "n"))
+    return _sections(_levels(fine), counted_median(amounts, "amount", "n"))

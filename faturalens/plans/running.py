@@ -76,7 +76,7 @@ def median(df: DataFrame, column: str) -> DataFrame:
 
     A sketch brackets the middle: its rank error is bounded, so that the bracket always holds
     the median. One more scan counts the rows below it and groups those inside by value; only
-    these, some thousandths of the rows, move.
+    these, some thousandths of the rows, move. They are written, so that what follows reads no amount again.
     """
     known = df.select(F.col(column).alias("_value")).where(F.col(column).isNotNull())
     bracket = known.agg(F.percentile_approx("_value", list(MIDDLE), SKETCH_ACCURACY).alias("_ends")).scalar()
@@ -84,7 +84,7 @@ def median(df: DataFrame, column: str) -> DataFrame:
     inside = F.col("_value").between(F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1)))
     # Of the rows outside only the number on either side is kept: one group each.
     side = F.when(F.col("_value") < F.get("_ends", F.lit(0)), -1).when(inside, 0).otherwise(1)
-    counts = sided.groupBy(side.alias("_side"), F.when(inside, F.col("_value")).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(sided.groupBy(side.alias("_side"), F.when(inside, F.col("_value")).alias("_value")).agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.agg(
         F.struct(F.sum("_n").alias("n"), F.coalesce(F.sum(F.when(F.col("_side") < 0, F.col("_n"))), F.lit(0)).alias("below"))
     ).scalar()
@@ -93,7 +93,7 @@ def median(df: DataFrame, column: str) -> DataFrame:
 
 def counted_median(counts: DataFrame, column: str, count: str) -> DataFrame:
     """One row, one column: the interpolated median of values that come with their numbers; nulls left out."""
-    known = counts.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.sum(count).alias("_n"))
+    known = written(counts.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.sum(count).alias("_n")))
     totals = known.agg(F.struct(F.sum("_n").alias("n"), F.lit(0).cast("long").alias("below"))).scalar()
     return _middle(known, totals)
 

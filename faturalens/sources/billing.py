@@ -189,6 +189,8 @@ def merged_spellings(df: DataFrame, aliases: dict[str, str] | None = None) -> Da
 
 def cell(value: Column, given: str, wanted: str) -> tuple[Column, Column]:
     """The value as `wanted`, null where it can't be, and whether there is a value at all."""
+    if given == wanted != "string":
+        return value, value.isNotNull()
     text = value.cast("string")
     there = value.isNotNull() & (F.trim(text) != "")
     if wanted == "string":
@@ -220,7 +222,8 @@ def checked(raw: DataFrame) -> DataFrame:
             continue
         value, there = cell(F.col(name), kinds[name], wanted)
         known.append(value.alias(name))
-        if wanted != "string":
+        # A column of the wanted type has no cell to reject.
+        if wanted not in ("string", kinds[name]):
             reject = F.struct(F.lit(name).alias("column"), F.col(name).cast("string").alias("value"), F.lit(f"not of type {wanted}").alias("reason"))
             rejects.append(F.when(there & value.isNull(), reject))
     whole_row = F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"), F.lit(MALFORMED).alias("reason"))
