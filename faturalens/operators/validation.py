@@ -157,6 +157,8 @@ def text_checks(
     """
     real = model_error(F.col("text")).isNull()
     rows = responses.where(real) if answers_only else responses
+    # A text that is put together by expressions is so once, not for each pattern.
+    rows = with_once(rows, text=F.col("text"))
     text = F.col("text") if answers_only else F.when(real, F.col("text")).otherwise(F.lit(""))
     return with_once(
         rows.withColumn("_known_years", known_years),

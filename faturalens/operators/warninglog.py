@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faturalens.functions import fixed
+from faturalens.plans.shared import written
 
 
 def log_records(verdict: DataFrame, stamp: Column | None = None) -> DataFrame:
@@ -151,8 +152,13 @@ def tally(log: DataFrame) -> DataFrame:
 
 
 def log_report(log: DataFrame, stamp: Column | None = None, n: int = 5) -> DataFrame:
-    """The report as lines `(part, rank, place, line)`, to be ordered by the first three."""
+    """The report as lines `(part, rank, place, line)`, to be ordered by the first three.
+
+    What the report needs of the log is written first: counts and examples need different columns of
+    it, so that no step of the checks behind a log would be shared between them.
+    """
     stamp = F.current_timestamp() if stamp is None else stamp
+    log = written(log.select("timestamp", "assistente", "quantidade_avisos", "avisos"))
     name, total = F.col("name"), F.col("total").cast("string")
 
     def line(part: int, text: Column, rank: Column | int = 0, place: Column | str = "") -> Column:

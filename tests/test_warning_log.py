@@ -173,3 +173,20 @@ def test_text_figures(spark):
     df = spark.createDataFrame([("r", "é" * 120)], "response_id string, text string")
     row = wl.with_text_figures(val.answers(df)).first()
     assert (row.text_length, row.text_head) == (120, "é" * 100)
+
+
+def test_the_report_reads_its_log_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    kind = "timestamp string, assistente string, quantidade_avisos int, avisos array<string>, primeiras_100_chars string"
+    given = [(f"t{i}", "ab"[i % 2], 2, [name(i), "AVISO: referência a 2024"], "x") for i in range(20)]
+    log = spark.createDataFrame(given, kind).mapInArrow(counted, kind)
+    lines = [r.line for r in wl.log_report(log, F.lit("2026-01-01").cast("timestamp")).collect()]
+    assert read.value == 20
+    assert "Total de execuções analisadas: 20" in lines and "## Falsos Positivos Detectados (20)" in lines
+    assert sum(line.startswith("- Cliente/Empresa") for line in lines) == 5
