@@ -17,10 +17,13 @@ PLAIN = r"^[0-9]+(\.[0-9]+)?$"
 
 def cited_numbers(text: Column) -> Column:
     """Figures after the currency sign or before a percent sign, as written."""
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(MONEY_PATTERN), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(PERCENT_PATTERN), F.lit(1)),
-    )
+
+    def figures(pattern: str, sign: str) -> Column:
+        # Digits are tried one by one, so a plain search for the sign goes first.
+        none = F.array().cast("array<string>")
+        return F.when(~F.contains(text, F.lit(sign)), none).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+    found = F.concat(figures(MONEY_PATTERN, "R$"), figures(PERCENT_PATTERN, "%"))
     return F.transform(found, lambda n: F.regexp_replace(n, r"[.,]+$", ""))
 
 
@@ -78,8 +81,10 @@ def cited_in_profile(responses: DataFrame, profile: DataFrame, tolerance: float
         return F.abs(figure - F.col(value)) <= F.abs(value) * tolerance
 
     hit = F.coalesce(near("least") | near("largest"), F.lit(False))
-    counted = found.groupBy("response_id").agg(
-        F.size(F.collect_set("position")).alias("cited"),
-        F.size(F.collect_set(F.when(hit, F.col("position")))).alias("verified"),
+    # A figure's bins are put together first: plain values, which combine in every task before they move.
+    each = found.groupBy("response_id", "position").agg(F.max(hit).alias("hit"))
+    counted = each.groupBy("response_id").agg(
+        F.count("position").cast("int").alias("cited"),
+        F.count(F.when(F.col("hit"), F.col("position"))).cast("int").alias("verified"),
     )
     return counted.withColumn("all_verified", F.col("cited") == F.col("verified"))

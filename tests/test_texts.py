@@ -387,3 +387,26 @@ def test_report_texts_are_spread_and_searched_once(spark, tmp_path):
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     # One search of each text, of all headings at once.
     assert plan.count("Objetivo do Dashboard|") == 2
+
+
+def test_cited_figures_of_repeated_rows_and_without_signs(spark):
+    profile = spark.createDataFrame([("s", "a", 10.0)], "section string, key string, value double")
+    given = [("a", "R$ 10 e 3%"), ("a", "R$ 10"), (None, "9% R$ 10"), ("b", "1" * 100_000), ("c", None)]
+    df = spark.createDataFrame(given, "response_id string, text string")
+    got = cited.cited_in_profile(df, profile)
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 2, 1, False), ("b", 0, 0, True), ("c", 0, 0, True), (None, 2, 1, False)]
+    assert [t for _, t in got.dtypes] == ["string", "int", "int", "boolean"]
+
+
+def test_the_profile_is_rolled_up_once(spark, make_facts):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    facts = make_facts([(2025, 1, f"c{i}", "p", str(i)) for i in range(10)])
+    profile = prof.data_profile(facts.mapInArrow(counted, facts.schema), facts)
+    assert profile.where("section = 'clientes'").count() == 10 and profile.where("section = 'top_clientes'").count() == 10
+    assert read.value == 10
